@@ -1,0 +1,6 @@
+"""Queries on the provided tables, one per operator, with their SQL."""
+
+from workload import q_plans  # noqa: F401
+from workload.registry import REGISTRY
+
+__all__ = ["REGISTRY"]
