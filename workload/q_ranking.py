@@ -325,7 +325,7 @@ def g6(spark, folder):
     "G7_simplest_good",
     sql(
         """SELECT t.metric, 'one_std_err' AS rule, t.config, t.trees FROM (
-  SELECT c.*, row_number() OVER (PARTITION BY c.metric ORDER BY c.trees, c.config) AS r FROM collected AS c JOIN best ON c.metric = best.metric WHERE c.mean >= best.mean - best.std_err) AS t WHERE r = 1
+  SELECT c.*, row_number() OVER (PARTITION BY c.metric ORDER BY c.trees, c.config) AS r FROM collected AS c JOIN best ON c.metric = best.metric WHERE c.mean >= best.mean - coalesce(best.std_err, 0)) AS t WHERE r = 1
 UNION ALL SELECT t.metric, 'pct_loss', t.config, t.trees FROM (
   SELECT c.*, row_number() OVER (PARTITION BY c.metric ORDER BY c.trees, c.config) AS r FROM collected AS c JOIN best ON c.metric = best.metric WHERE (best.mean - c.mean) / best.mean * 100 <= 2) AS t WHERE r = 1""",
         TUNING, "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean DESC, config) AS r FROM collected) AS b WHERE r = 1)",

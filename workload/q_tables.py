@@ -272,7 +272,7 @@ def j6(spark, folder):
     return A.counts(out, "p_type")
 
 
-@query("J7_members_of_set", sql("SELECT event_id FROM sessions WHERE coalesce(device_type, '?') NOT IN (SELECT coalesce(device_type, '?') FROM sessions GROUP BY 1 ORDER BY count(*) DESC LIMIT 2)", SESSIONS))
+@query("J7_members_of_set", sql("SELECT event_id FROM sessions WHERE coalesce(device_type, '?') NOT IN (SELECT d FROM (SELECT coalesce(device_type, '?') AS d, rank() OVER (ORDER BY count(*) DESC) AS r FROM sessions GROUP BY 1) AS k WHERE r <= 2)", SESSIONS))
 def j7(spark, folder):
     s = sessions(spark, folder)
     top = W.top_levels(A.counts(s, "device_type"), "n", 2)
