@@ -58,6 +58,15 @@ def _range_index(cuts: list, order_type) -> Column:
     return coarse * _STEP + F.size(F.filter(fine, lambda cut: cut <= order))
 
 
+def ordered_ranges(base: DataFrame, window_rows: int = WINDOW_ROWS, ranges: int = RANGES) -> DataFrame | None:
+    """``base`` with ``__range``, the index of its value range in the order ``__order``, or
+    ``None`` if the table is small enough for one window. Ranges hold similar row counts."""
+    total = base.count()
+    if total <= window_rows:
+        return None
+    return base.withColumn("__range", _range_index(_range_bounds(base, total, ranges), base.schema["__order"].dataType))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,15 +87,13 @@ def running_totals(
     base = checkpointed(
         df.withColumns({"__order": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), **{f"__{k}": v for k, v in sums.items()}})
     )
-    total = base.count()
+    ranged = ordered_ranges(base, window_rows, ranges)
     rows = (Window.unboundedPreceding, Window.currentRow)
-    if total <= window_rows:
+    if ranged is None:
         window = Window.partitionBy(*keys).orderBy("__order").rowsBetween(*rows)
         out = base.withColumns({k: F.sum(f"__{k}").over(window) for k in sums})
         return out.drop("__order", *[f"__{k}" for k in sums])
 
-    order_type = base.schema["__order"].dataType
-    ranged = base.withColumn("__range", _range_index(_range_bounds(base, total, ranges), order_type))
     slot = [*keys, "__range"]
     totals = ranged.groupBy(*slot).agg(*[F.sum(f"__{k}").alias(f"__sum_{k}") for k in sums])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from waymark.features import levels as V
 from waymark.features import prepare as M
@@ -41,7 +42,12 @@ class Recipe:
         first = self.steps[0] if self.steps else None
         if isinstance(first, M.OmitIncomplete):
             rows = first.fit(train).training_rows(train)
-        model = Pipeline(stages=self.steps).fit(rows)
+        # Every step reads the training rows once; they are computed once and spill to disk.
+        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = Pipeline(stages=self.steps).fit(kept)
+        finally:
+            kept.unpersist()
         out = model.transform(rows)
         if self.balance is not None:
             out = self.balance(out, self.ids, self.label)

@@ -254,3 +254,58 @@ def m4(spark, folder):
     from waymark.features.impute import hot_deck
 
     return hot_deck(users(spark, folder).select("id", "age"), ["id"], "age", SEED)
+
+
+@query("M3_neighbour_impute")
+def m3(spark, folder):
+    from waymark.features.neighbours import NeighbourImpute
+
+    u = users(spark, folder).select("id", "age", "balance", "gender", "signup_method", "country_destination")
+    return NeighbourImpute(k=5).fit(u).transform(u)
+
+
+@query("M5_chained_matching")
+def m5(spark, folder):
+    from waymark.features.impute import chained_matching
+
+    u = users(spark, folder).select("id", "age", "balance", "first_affiliate_tracked")
+    return chained_matching(u, ["id"], ["age", "balance", "first_affiliate_tracked"], sweeps=2, seed=SEED)
+
+
+@query(
+    "M5_nearest_on_line",
+    """WITH d AS (SELECT DISTINCT c_acctbal AS at FROM customer WHERE c_custkey % 3 <> 0),
+g AS (SELECT c_custkey, c_acctbal AS at FROM customer WHERE c_custkey % 3 = 0)
+SELECT c_custkey, round(CASE WHEN hi IS NULL OR g_at - lo <= hi - g_at THEN lo ELSE hi END, 6) AS value FROM (
+  SELECT c_custkey, g.at AS g_at, max(CASE WHEN d.at <= g.at THEN d.at END) AS lo, min(CASE WHEN d.at >= g.at THEN d.at END) AS hi
+  FROM g CROSS JOIN d GROUP BY 1, 2) AS t""",
+)
+def m5_line(spark, folder):
+    from waymark.features.impute import nearest_on_line
+
+    c = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("at"), F.col("c_acctbal").alias("value"))
+    # Small limits force the ranged order, so that donors are carried between ranges.
+    return nearest_on_line(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0"), ["c_custkey"], "at", "value", window_rows=50, ranges=16)
+
+
+def growing_table(spark, folder):
+    """Complete rows with an uneven label."""
+    nation = F.regexp_extract("country_destination", "([0-9]+)", 1).cast("int")
+    label = F.when(F.col("country_destination") == "NDF", "NDF").when(nation < 4, "near").otherwise("far")
+    u = users(spark, folder)
+    age = F.coalesce("age", F.lit(40.0))
+    return u.select("id", label.alias("y"), age.alias("age"), (F.col("balance") / 100).alias("balance"), "gender")
+
+
+@query("B8_smote")
+def b8(spark, folder):
+    from waymark.features.neighbours import smote
+
+    return smote(growing_table(spark, folder), "y", ["id"], ["age", "balance"], SEED)
+
+
+@query("B9_adasyn")
+def b9(spark, folder):
+    from waymark.features.neighbours import adasyn
+
+    return adasyn(growing_table(spark, folder), "y", ["id"], ["age", "balance"], SEED)
