@@ -24,7 +24,9 @@ def hot_deck(df: DataFrame, ids: Sequence[str], column: str, seed: int) -> DataF
     two meet in a join. Picks are spread evenly, so no join key is hot.
     """
     donors = numbered(df.where(F.col(column).isNotNull()).select(*ids, column), [], ids, seed, "__pick")
-    size = df.agg(F.count(column)).scalar()
+    size = df.agg(F.count(column)).first()[0]
+    if not size:
+        return df
     gaps = df.where(F.col(column).isNull()).withColumn("__pick", seeded_integer(seeded_hash(list(ids), seed + 1), size) + 1)
     filled = gaps.drop(column).join(donors.select("__pick", column), "__pick", "left").drop("__pick")
     return df.where(F.col(column).isNotNull()).unionByName(filled.select(df.columns))
