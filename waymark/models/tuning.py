@@ -138,6 +138,15 @@ def show_best(metrics: DataFrame, config: Sequence[str], n: int = 1) -> DataFram
     return metrics.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n).drop("__place")
 
 
+def best_settings(results: DataFrame, grid: Grid, metric: str) -> dict:
+    """Settings with the best mean of a metric over the folds, to refit with."""
+    metrics = collect_metrics(results.where(F.col("metric") == metric), ["config"])
+    row = show_best(metrics, ["config"]).first()
+    if row is None:
+        raise ValueError(f"no configuration has a value for {metric}")
+    return grid[row["config"]]
+
+
 def _simplest(metrics: DataFrame, config: Sequence[str], simpler: Sequence[str], good: Column) -> DataFrame:
     best = show_best(metrics, config).select(
         F.col("metric"), F.col("mean").alias("__best"), F.coalesce(F.col("std_err"), F.lit(0.0)).alias("__err")

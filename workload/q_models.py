@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.cluster import scratch_path
 from waymark.features import prepare as M
 from waymark.features import resample as B
 from waymark.models import classify as L
@@ -11,6 +12,7 @@ from waymark.models import tuning as G
 from waymark.operators.metrics import hit, ndcg, roc_auc
 from waymark.plans.recipes import fit_and_score, recipe
 from waymark.plans.sessions import session_totals
+from waymark.sources.snapshots import load_pipeline, save_pipeline
 from workload.adapters import PREDICTIONS, predictions, sessions, tuning_results, users
 from workload.registry import query, sql
 
@@ -199,7 +201,8 @@ def g9(spark, folder):
 @query("G10_refit_best")
 def g10(spark, folder):
     data = model_table(spark, folder).drop("booked")
-    best = {"trees": 4, "depth": 3}
+    grid = G.full_grid({"trees": [2, 4], "depth": [3]})
+    best = G.best_settings(grid_results(spark, folder, grid), grid, "roc_auc")
     done = fit_and_score(data, recipe("semi_minimal", label=REGION_LABEL, drop=()), lambda df, label: L.forest(df, label, seed=SEED, **best))
     return done.confusion
 
@@ -209,3 +212,17 @@ def g11(spark, folder):
     metrics = G.collect_metrics(tuning_results(spark, folder), ["config", "trees"]).where("metric = 'roc_auc'")
     frame = M.assembled(metrics.select("config", F.col("mean"), "trees", F.coalesce("std_err", F.lit(0.0)).alias("std_err")), ["config"], "mean")
     return M.importance_table(L.forest_regression(frame, "mean", trees=10), frame)
+
+
+@query("S12_saved_pipeline")
+def s12(spark, folder):
+    """A saved and reloaded preparation and forest score every row as before."""
+    data = model_table(spark, folder).drop("booked")
+    done = recipe("semi_minimal", label=REGION_LABEL, drop=()).fit(data)
+    frame = M.assembled(done.train, ["id"], REGION_LABEL)
+    fitted = L.forest(frame, REGION_LABEL, trees=5, depth=4, seed=SEED)
+    steps, stages = scratch_path(spark, "preparation"), scratch_path(spark, "forest")
+    save_pipeline(done.model, steps)
+    save_pipeline(fitted.stages, stages)
+    again = L.FittedClassifier(fitted.labels, load_pipeline(stages))
+    return again.scored(M.assembled(load_pipeline(steps).transform(data), ["id"], REGION_LABEL))

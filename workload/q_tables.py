@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.cluster import scratch_path
 from waymark.functions.labels import DESTINATION_REGIONS
 from waymark.functions.scalars import without
 from waymark.operators import columns as C
@@ -12,12 +13,54 @@ from waymark.operators import reshape as R
 from waymark.operators import rows as N
 from waymark.operators import windows as W
 from waymark.sources import delimited as D
+from waymark.sources.snapshots import read_snapshot, write_snapshot
 from workload.adapters import (
     COUNTRIES, SESSIONS, TUNING, USERS, countries, sessions, table, tuning_results, users,
 )
 from workload.registry import query, sql
 
-# Sources. The text forms of the tables stand for file cells.
+# Sources. Files are written to and read back from the shared checkpoint folder.
+
+FILE_COLUMNS = {
+    "id": "id", "date_account_created": "date", "timestamp_first_active": "text", "date_first_booking": "date", "gender": "text",
+    "age": "number", "balance": "double", "first_affiliate_tracked": "text", "country_destination": "text", "dataset": "skip",
+}
+
+
+@query(
+    "S1_declared_csv",
+    sql(
+        "SELECT id, CAST(date_account_created AS VARCHAR) AS date_account_created, timestamp_first_active, CAST(date_first_booking AS VARCHAR) AS date_first_booking, gender, round(age, 6) AS age, round(balance, 6) AS balance, first_affiliate_tracked, country_destination FROM users",
+        USERS,
+    ),
+)
+def s1(spark, folder):
+    path = scratch_path(spark, "users-csv")
+    D.write_delimited(users(spark, folder).select(*FILE_COLUMNS), path)
+    return D.read_declared(spark, path, FILE_COLUMNS)
+
+
+@query("S2_inferred_csv", sql("SELECT country_destination, round(lat_destination, 6) AS lat_destination, CAST(distance_km AS DOUBLE) AS distance_km FROM countries", COUNTRIES))
+def s2(spark, folder):
+    path = scratch_path(spark, "countries-csv")
+    D.write_delimited(countries(spark, folder).select("country_destination", "lat_destination", "distance_km"), path)
+    return D.read_inferred(spark, path)
+
+
+@query("S10_csv_sink", sql("SELECT event_id, user_id, action_detail, round(secs_elapsed, 6) AS secs_elapsed FROM sessions", SESSIONS))
+def s10(spark, folder):
+    path = scratch_path(spark, "sessions-csv")
+    D.write_delimited(sessions(spark, folder).select("event_id", "user_id", "action_detail", "secs_elapsed"), path)
+    kinds = {"event_id": "double", "user_id": "id", "action_detail": "text", "secs_elapsed": "double"}
+    return D.read_declared(spark, path, kinds).withColumn("event_id", F.col("event_id").cast("bigint"))
+
+
+@query("S11_snapshot", sql("SELECT id, CAST(date_account_created AS VARCHAR) AS date_account_created, round(age, 6) AS age, dataset FROM users WHERE dataset = 'train'", USERS))
+def s11(spark, folder):
+    path = scratch_path(spark, "users-snapshot")
+    kept = users(spark, folder).select("id", "date_account_created", "age", "dataset")
+    write_snapshot(kept, path, ["dataset"])
+    return read_snapshot(spark, path).where("dataset = 'train'")
 
 
 @query("S3_null_tokens", sql("SELECT device_type, count(*) AS n FROM (SELECT CASE WHEN device_type NOT IN ('d1', 'd3') THEN device_type END AS device_type FROM sessions) AS s GROUP BY 1", SESSIONS))
