@@ -96,6 +96,6 @@ def seeded_integer(text: Column, modulus: Column | int) -> Column:
     return F.pmod(number, modulus.cast("bigint"))
 
 
-def seeded_uniform(text: Column) -> Column:
-    """A double in [0, 1) from the first 13 hash digits (52 bits)."""
-    return F.conv(F.substring(text, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def seeded_uniform(ids: list[str], seed: int) -> Column:
+    """A double in [0, 1) from row ids and a seed (the top 53 bits of a 64-bit hash)."""
+    return F.shiftrightunsigned(F.xxhash64(*ids, F.lit(seed)), 11).cast("double") / F.lit(float(2**53))

@@ -97,7 +97,7 @@ def chained_matching(df: DataFrame, ids: Sequence[str], columns: Sequence[str],
             others = [o for o in columns if o != c]
             coded = current.select(*ids, c, f"__gap_{c}", number(c).alias("__y"), *[number(o).alias(f"__x_{o}") for o in others])
             rows = VectorAssembler(inputCols=[f"__x_{o}" for o in others], outputCol="__x").transform(coded)
-            fitted = LinearRegression(featuresCol="__x", labelCol="__y", predictionCol="__at", regParam=1e-6).fit(rows.where(~F.col(f"__gap_{c}")))
+            fitted = LinearRegression(featuresCol="__x", labelCol="__y", predictionCol="__at", solver="normal", regParam=1e-6).fit(rows.where(~F.col(f"__gap_{c}")))
             placed = fitted.transform(rows)
             filled = nearest_on_line(placed.where(f"__gap_{c}"), placed.where(~F.col(f"__gap_{c}")), ids, "__at", c, **limits)
             renamed = filled.withColumnRenamed(c, "__new")

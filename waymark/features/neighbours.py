@@ -273,7 +273,7 @@ def _between(df: DataFrame, draws: DataFrame, label: str, ids: Sequence[str], nu
     made = draws.join(lists.withColumnRenamed("id", "__id"), F.col(key).cast("string") == F.col("__id"))
     pick = seeded_integer(seeded_hash([key, "copy"], seed), F.size("near")).cast("int")
     far = F.element_at("near", pick + 1)["to"]
-    u = seeded_uniform(seeded_hash([key, "copy"], seed + 1))
+    u = seeded_uniform([key, "copy"], seed + 1)
     moved = F.zip_with(numbers, far, lambda a, b: a + (b - a) * F.col("__u"))
     rows = made.withColumn("__u", u).withColumn("__moved", moved)
     cells = {c: F.col("__moved")[i] for i, c in enumerate(numeric)}

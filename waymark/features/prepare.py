@@ -6,13 +6,17 @@ projection. Fitted values are plain numbers and texts.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,8 +232,8 @@ class Normalize(_Scaler):
 class BoxCox(Step):
     """Power transform of strictly positive columns.
 
-    The power with the best profile likelihood is found on a coarse grid, then on a fine
-    one. Each grid is a single aggregate over all columns and powers.
+    The power with the best profile likelihood is found on a coarse grid, then on two finer
+    ones around it. Each grid is a single aggregate over all columns and powers.
     """
 
     def __init__(self, columns=None, low=-2.0, high=2.0, **roles):
@@ -240,10 +244,10 @@ class BoxCox(Step):
         lows = df.agg(*[F.min(c).alias(c) for c in columns]).first() if columns else {}
         positive = [c for c in columns if lows[c] is not None and lows[c] > 0]
         low, high = self.values["low"], self.values["high"]
-        coarse = {c: np.linspace(low, high, 17).tolist() for c in positive}
-        best = _best_powers(df, coarse)
-        fine = {c: np.linspace(b - 0.25, b + 0.25, 51).tolist() for c, b in best.items()}
-        return FittedBoxCox(powers={c: round(b, 6) for c, b in _best_powers(df, fine).items()})
+        best = _best_powers(df, {c: np.linspace(low, high, 9).tolist() for c in positive})
+        for width in ((high - low) / 8, (high - low) / 80):
+            best = _best_powers(df, {c: np.linspace(b - width, b + width, 21).tolist() for c, b in best.items()})
+        return FittedBoxCox(powers={c: round(b, 6) for c, b in best.items()})
 
 
 def power_transform(column: Column, power: float) -> Column:
@@ -253,20 +257,20 @@ def power_transform(column: Column, power: float) -> Column:
 
 
 def _best_powers(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, float]:
+    """Power with the largest profile likelihood, per column. Each value is evaluated at
+    every power of its grid inside one aggregate over (column, power)."""
     if not grids:
         return {}
-    parts = []
-    for c, powers in grids.items():
-        x = F.col(c).cast("double")
-        spread = F.array(*[F.var_pop(power_transform(x, p)) for p in powers])
-        parts.append(F.struct(F.count(c).alias("n"), F.sum(F.ln(x)).alias("logs"), spread.alias("spread")).alias(c))
-    row = df.agg(*parts).first()
-    best = {}
-    for c, powers in grids.items():
-        n, logs, spread = row[c]["n"], row[c]["logs"], row[c]["spread"]
-        fits = [-n / 2 * math.log(v) + (p - 1) * logs if v and v > 0 else -math.inf for p, v in zip(powers, spread)]
-        best[c] = powers[int(np.argmax(fits))]
-    return best
+    logs = df.select(*[F.ln(F.col(c).cast("double")).alias(c) for c in grids]).unpivot([], list(grids), "column", "log")
+    powers = F.create_map(*[x for c, grid in grids.items() for x in (F.lit(c), F.lit([float(p) for p in grid]))])
+    each = logs.where(F.col("log").isNotNull()).select("column", "log", F.explode(powers[F.col("column")]).alias("power"))
+    moved = F.when(F.abs("power") < 1e-9, F.col("log")).otherwise((F.exp(F.col("log") * F.col("power")) - 1) / F.col("power"))
+    stats = each.groupBy("column", "power").agg(F.count(F.lit(1)).alias("n"), F.sum("log").alias("logs"), F.var_pop(moved).alias("spread"))
+    best: dict[str, tuple[float, float]] = {}
+    for r in stats.collect():  # one row per column and power
+        fit = -r["n"] / 2 * math.log(r["spread"]) + (r["power"] - 1) * r["logs"] if r["spread"] and r["spread"] > 0 else -math.inf
+        best[r["column"]] = max(best.get(r["column"], (-math.inf, 0.0)), (fit, r["power"]))
+    return {c: power for c, (_, power) in best.items()}
 
 
 class FittedBoxCox(FittedStep):
@@ -278,14 +282,39 @@ class FittedBoxCox(FittedStep):
 # Projection
 
 
-def _dot(columns: Sequence[Column], weights: Sequence[float]) -> Column:
-    return F.aggregate(
-        F.zip_with(F.array(*columns), F.lit([float(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b
-    )
+def _weighted(columns: Sequence[Column], weights: Sequence[float]) -> Column:
+    """Weighted sum as plain arithmetic, so that it is compiled."""
+    out = F.lit(0.0)
+    for column, weight in zip(columns, weights):
+        out = out + column * F.lit(float(weight))
+    return out
+
+
+def _waves(spec: dict, project: tuple[list, list] | None = None):
+    """Random cosine features of a batch of rows, or their projection."""
+    weights, shifts = np.array(spec["weights"]), np.array(spec["shifts"])
+
+    @F.pandas_udf("array<double>")
+    def mapped(rows: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(r, dtype=float) for r in rows]) if len(rows) else np.empty((0, weights.shape[1]))
+        z = np.sqrt(2.0 / len(shifts)) * np.cos(x @ weights.T + shifts)
+        if project is not None:
+            z = (z - np.array(project[0])) @ np.array(project[1]).T
+        return pd.Series(list(z))
+
+    return mapped
+
+
+def _square_map(x: Sequence[Column]) -> list[Column]:
+    """Features whose inner products equal (x.y + 1)^2 up to a constant."""
+    root = F.lit(math.sqrt(2.0))
+    pairs = [a * b if i == j else a * b * root for (i, a), (j, b) in itertools.combinations_with_replacement(enumerate(x), 2)]
+    return [a * root for a in x] + pairs
 
 
 class _Projection(Step):
-    """Principal components of a fixed map of the numeric columns."""
+    """Principal components of a fixed map of the numeric columns. Rows with gaps are left
+    out of the fit and get missing components."""
 
     prefix = "PC"
 
@@ -298,45 +327,44 @@ class _Projection(Step):
     def _fit(self, df):
         columns = self.numeric(df)
         spec = self._map(columns)
-        mapped = df.select(F.array(*mapped_columns(columns, spec)).alias("a")).where(~F.exists("a", lambda x: x.isNull()))
-        first = mapped.agg(F.count("a"), *[F.avg(F.col("a")[i]) for i in range(_width(columns, spec))]).first()
-        if not first[0]:
+        complete = df.select(*columns).dropna("any")
+        vectors = complete.select(array_to_vector(_mapped(columns, spec)).alias("v"))
+        mean = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
+        if mean is None or len(mean) == 0:
             raise ValueError("no complete row to fit the projection on")
-        means = [float(v) for v in first[1:]]
+        means = mean.toArray().tolist()
         k = min(self.values["k"], len(means)) if self.values["variance"] is None else len(means)
-        model = PCA(k=k, inputCol="v", outputCol="p").fit(mapped.select(array_to_vector("a").alias("v")))
-        weights = model.pc.toArray()
+        model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+        weights, explained = model.pc.toArray(), model.explainedVariance.toArray()
         if self.values["variance"] is not None:
-            share = np.cumsum(model.explainedVariance.toArray())
-            weights = weights[:, : int(np.searchsorted(share, self.values["variance"])) + 1]
-        return FittedProjection(columns=columns, map=spec, means=means, weights=weights.T.tolist(), prefix=self.prefix, explained=model.explainedVariance.toArray().tolist())
+            weights = weights[:, : int(np.searchsorted(np.cumsum(explained), self.values["variance"])) + 1]
+        return FittedProjection(columns=columns, map=spec, means=means, weights=weights.T.tolist(), prefix=self.prefix, explained=explained.tolist())
+
+
+def _mapped(columns: Sequence[str], spec: dict) -> Column:
+    x = [F.col(c).cast("double") for c in columns]
+    if spec["kind"] == "waves":
+        return _waves(spec)(F.array(*x))
+    return F.array(*(_square_map(x) if spec["kind"] == "square" else x))
 
 
 class FittedProjection(FittedStep):
     def _transform(self, df):
         v = self.values
-        mapped = mapped_columns(v["columns"], v["map"])
-        centered = [m - F.lit(c) for m, c in zip(mapped, v["means"])]
-        parts = [_dot(centered, w).alias(f"{v['prefix']}{i + 1}") for i, w in enumerate(v["weights"])]
-        return df.select(*[c for c in df.columns if c not in v["columns"]], *parts)
-
-
-def _width(columns: Sequence[str], spec: dict) -> int:
-    n = len(columns)
-    return {"linear": n, "square": n + n * (n + 1) // 2, "waves": len(spec.get("shifts", []))}[spec["kind"]]
-
-
-def mapped_columns(columns: Sequence[str], spec: dict) -> list[Column]:
-    x = [F.col(c).cast("double") for c in columns]
-    if spec["kind"] == "linear":
-        return x
-    if spec["kind"] == "square":
-        # Inner products of this map equal (x.y + 1)^2 up to a constant.
-        root = F.lit(math.sqrt(2.0))
-        pairs = [a * b if i == j else a * b * root for (i, a), (j, b) in itertools.combinations_with_replacement(enumerate(x), 2)]
-        return [a * root for a in x] + pairs
-    scale = F.lit(math.sqrt(2.0 / len(spec["shifts"])))
-    return [scale * F.cos(_dot(x, w) + F.lit(b)) for w, b in zip(spec["weights"], spec["shifts"])]
+        kept = [c for c in df.columns if c not in v["columns"]]
+        names = [f"{v['prefix']}{i + 1}" for i in range(len(v["weights"]))]
+        x = [F.col(c).cast("double") for c in v["columns"]]
+        if v["map"]["kind"] == "waves":
+            complete = F.when(~functools.reduce(operator.or_, [c.isNull() for c in x]), F.array(*x))
+            filled = F.coalesce(complete, F.lit([0.0] * len(x)))
+            out = df.withColumn("__p", F.when(complete.isNotNull(), _waves(v["map"], (v["means"], v["weights"]))(filled)))
+            return out.select(*kept, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
+        cells = _square_map(x) if v["map"]["kind"] == "square" else x
+        parts = []
+        for name, weights in zip(names, v["weights"]):
+            shift = float(np.dot(v["means"], weights))
+            parts.append((_weighted(cells, weights) - F.lit(shift)).alias(name))
+        return df.select(*kept, *parts)
 
 
 class PrincipalComponents(_Projection):

@@ -202,14 +202,14 @@ def bootstrap(df: DataFrame, ids: Sequence[str], times: int = 25, seed: int = 1,
     Weight 0 marks the out-of-bag rows of a replicate.
     """
     each = df.withColumn(replicate, F.explode(F.sequence(F.lit(1), F.lit(times))))
-    u = seeded_uniform(seeded_hash([*ids, replicate], seed))
+    u = seeded_uniform([*ids, replicate], seed)
     # Cumulative Poisson(1) probabilities e^-1 (1 + 1 + 1/2 + 1/6 + ...).
     edges, term, total = [], 0.36787944117144233, 0.0
     for k in range(16):
         term = term if k == 0 else term / k
         total += term
         edges.append(total)
-    draws = F.size(F.filter(F.lit(edges), lambda edge: edge <= F.col("__u")))
+    draws = sum((F.when(F.col("__u") >= edge, 1).otherwise(0) for edge in edges), F.lit(0))
     return each.withColumn("__u", u).withColumn(weight, draws).drop("__u")
 
 
@@ -240,6 +240,6 @@ def rose(df: DataFrame, label: str, ids: Sequence[str], numeric: Sequence[str],
 
 def _gauss(ids: Sequence[str], seed: int) -> Column:
     """Standard normal draw from the row id (Box-Muller on two seeded uniforms)."""
-    u = F.greatest(seeded_uniform(seeded_hash(list(ids), seed)), F.lit(1e-12))
-    v = seeded_uniform(seeded_hash(list(ids), seed + 104729))
+    u = F.greatest(seeded_uniform(list(ids), seed), F.lit(1e-12))
+    v = seeded_uniform(list(ids), seed + 104729)
     return F.sqrt(-2 * F.ln(u)) * F.cos(v * 6.283185307179586)

@@ -6,13 +6,14 @@ Each fit is a distributed Spark job; the driver holds settings and metric values
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.cluster import checkpointed
 from waymark.operators.profile import spread_summary
 from waymark.operators.reshape import widen
 from waymark.operators.windows import first_per_key
@@ -67,36 +68,40 @@ def _pick(values: Sequence, at: float):
 
 
 def evaluate_grid(
-    spark: SparkSession,
+    folded: DataFrame,
+    folds: int,
     grid: Grid,
-    folds: Iterable[tuple[int, DataFrame, DataFrame]],
     fit: Callable[[dict, DataFrame], object],
     score: Callable[[object, DataFrame], Mapping[str, float]],
     parallelism: int = 2,
+    column: str = "fold",
 ) -> DataFrame:
-    """Fit and score every configuration on every fold.
+    """Fit and score every configuration on every fold of a table that carries its fold.
 
-    Gives ``(config, settings, fold, metric, value)``. A fit that fails is recorded with
-    the metric ``failed`` and the run goes on.
+    Gives ``(config, settings, fold, metric, value)``. The table is written to the
+    checkpoint folder once, since every fit reads it again. A fit that fails is recorded
+    with the metric ``failed`` and the run goes on.
     """
-    jobs = [(i, settings, fold, train, test) for fold, train, test in folds for i, settings in enumerate(grid)]
+    ready = checkpointed(folded)
+    jobs = [(i, settings, k) for k in range(folds) for i, settings in enumerate(grid)]
 
     def run(job):
-        i, settings, fold, train, test = job
+        i, settings, k = job
+        train, test = fold_pair(ready, k, column)
         try:
             values = score(fit(settings, train), test)
         except Exception:  # a poor setting must not end the whole run
             values = {"failed": 1.0}
-        return [(i, str(sorted(settings.items())), fold, m, float(v)) for m, v in values.items()]
+        return [(i, str(sorted(settings.items())), k, m, float(v)) for m, v in values.items()]
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = [row for part in pool.map(run, jobs) for row in part]
-    return spark.createDataFrame(rows, "config int, settings string, fold int, metric string, value double")
+    return folded.sparkSession.createDataFrame(rows, "config int, settings string, fold int, metric string, value double")
 
 
-def fold_pairs(df: DataFrame, folds: int, column: str = "fold") -> list[tuple[int, DataFrame, DataFrame]]:
-    """Training and assessment rows of every fold of a table that carries its fold."""
-    return [(k, df.where(F.col(column) != k).drop(column), df.where(F.col(column) == k).drop(column)) for k in range(folds)]
+def fold_pair(df: DataFrame, k: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """Training and assessment rows of fold ``k``."""
+    return df.where(F.col(column) != k).drop(column), df.where(F.col(column) == k).drop(column)
 
 
 def evaluate_specs(spark: SparkSession, specs: Mapping[str, Callable[[], Mapping[str, float]]]) -> DataFrame:

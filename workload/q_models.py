@@ -9,7 +9,7 @@ from waymark.features import prepare as M
 from waymark.features import resample as B
 from waymark.models import classify as L
 from waymark.models import tuning as G
-from waymark.operators.metrics import hit, ndcg, roc_auc
+from waymark.operators.metrics import first_class_hit, hit, ndcg, roc_auc
 from waymark.plans.recipes import fit_and_score, recipe
 from waymark.plans.sessions import session_totals
 from waymark.sources.snapshots import load_pipeline, save_pipeline
@@ -160,10 +160,11 @@ def grid_results(spark, folder, grid):
 
     def score(fitted, test):
         found = fitted.predictions(test, "booked")
+        shares = found.agg(F.avg(hit(F.col("prob"), F.col("truth"))), F.avg(first_class_hit(F.col("prob"), F.col("truth")))).first()
         area = roc_auc(found.select(F.col("prob")[1].alias("score"), "truth"), "score", F.col("truth") == 1).first()[0]
-        return {"accuracy": found.agg(F.avg(hit(F.col("prob"), F.col("truth")))).first()[0], "roc_auc": area}
+        return {"accuracy": shares[0], "binary_accuracy": shares[1], "roc_auc": area}
 
-    return G.evaluate_grid(spark, grid, G.fold_pairs(folded, 2), fit, score, parallelism=2)
+    return G.evaluate_grid(folded, 2, grid, fit, score, parallelism=2)
 
 
 @query("G1_full_grid")
