@@ -152,3 +152,30 @@ def test_wide_top_classes_keep_ties(spark):
 
     df = spark.createDataFrame([("u", [0.1, 0.4, 0.1, 0.4])], "id string, prob array<double>")
     assert values(top_classes(df, list("abcd"), 1), "place", "country") == [(1, "b"), (2, "d")]
+
+
+def test_missing_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 3), ("k", "a", 2)], "g string, c string, n int")
+    assert sorted((r["c"], r["pcnt"]) for r in W.share_within(df, ["g"], "n").collect()) == [("a", 0.25), ("a", 1.0), ("b", 0.75)]
+    assert sorted(r["n"] for r in W.top_n_ties_hot(df, ["g"], "n", 1).collect()) == [2, 3]
+
+
+def test_session_profile_equals_its_parts(spark):
+    from waymark.plans.sessions import session_profile, session_totals, top_devices
+
+    rows = [("u", "p", 1.0), ("u", "q", None), ("u", "q", 3.0), ("u", None, 2.0), ("v", "p", None), ("v", "q", None)]
+    log = spark.createDataFrame(rows, "user_id string, device_type string, secs_elapsed double")
+    columns = ["user_id", "avg_secs", "sum_secs", "cnt_actions", "top_device", "device_cnt"]
+    for ties in ("keep", "first"):
+        parts = session_totals(log).join(top_devices(log, ties), "user_id").select(*columns)
+        assert sorted(map(str, session_profile(log, ties).select(*columns).collect())) == sorted(map(str, parts.collect()))
+
+
+def test_pair_ndcg_with_graded_relevance(spark):
+    import math
+
+    pairs = [(1, 0), (2, 3), (3, 1), (4, 3), (5, 0)]
+    df = spark.createDataFrame(pairs, "rank int, relevance int")
+    dcg = sum((2**rel - 1) / math.log2(rank + 1) for rank, rel in pairs)
+    ideal = sum((2**rel - 1) / math.log2(i + 2) for i, rel in enumerate(sorted((r for _, r in pairs), reverse=True)))
+    assert abs(values(E.pair_ndcg(df, "rank", "relevance"), "ndcg")[0] - dcg / ideal) < 1e-12

@@ -80,6 +80,14 @@ def as_lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on shared keys in which a missing key meets a missing key. The keys of the
+    left side stay."""
+    renamed = right.withColumnsRenamed({k: f"__join_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"__join_{k}")) for k in keys]
+    return left.join(renamed, match, how).drop(*[f"__join_{k}" for k in keys])
+
+
 def seeded_hash(ids: list[str], seed: int) -> Column:
     """Hex text that orders rows at random, from row ids alone.
 

@@ -52,13 +52,13 @@ def nearest_on_line(gaps: DataFrame, donors: DataFrame, ids: Sequence[str], at:
     ranged = base.withColumn("__range", F.lit(0)) if single else ranged
     donor = F.when(F.col("__gap") == 0, F.struct(F.col("__at").alias("at"), F.col("__value").alias("value")))
     marked = ranged.withColumn("__donor", donor)
-    inside = Window.partitionBy("__range").orderBy("__order")
-    seen = marked.withColumns(
-        {
-            "__low": F.last("__donor", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "__high": F.first("__donor", ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    ).where(F.col("__gap") == 1)
+    # Both directions look back from the row: a frame that ends at the partition's end
+    # would be scanned again for every row.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("__range").orderBy(F.asc("__order")).rowsBetween(*so_far)
+    down = Window.partitionBy("__range").orderBy(F.desc("__order")).rowsBetween(*so_far)
+    nearest_donor = F.last("__donor", ignorenulls=True)
+    seen = marked.withColumns({"__low": nearest_donor.over(up), "__high": nearest_donor.over(down)}).where(F.col("__gap") == 1)
     if not single:
         ends = marked.where(F.col("__gap") == 0).groupBy("__range").agg(F.max_by("__donor", "__order").alias("last"), F.min_by("__donor", "__order").alias("first"))
         steps = marked.select("__range").distinct().join(ends, "__range", "left")
@@ -69,8 +69,8 @@ def nearest_on_line(gaps: DataFrame, donors: DataFrame, ids: Sequence[str], at:
             F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
         )
         seen = seen.join(F.broadcast(carried), "__range").withColumns({"__low": F.coalesce("__low", "__before"), "__high": F.coalesce("__high", "__after")})
-    down, up = F.col("__at") - F.col("__low.at"), F.col("__high.at") - F.col("__at")
-    lower = F.col("__high").isNull() | (F.col("__low").isNotNull() & (down <= up))
+    below, above = F.col("__at") - F.col("__low.at"), F.col("__high.at") - F.col("__at")
+    lower = F.col("__high").isNull() | (F.col("__low").isNotNull() & (below <= above))
     return seen.select("__ids.*", F.when(lower, F.col("__low.value")).otherwise(F.col("__high.value")).alias(value))
 
 

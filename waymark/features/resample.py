@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.cluster import as_lookup, seeded_hash, seeded_integer, seeded_uniform
+from waymark.cluster import as_lookup, checkpointed, seeded_hash, seeded_integer, seeded_uniform
 
 # Hash digits that form a bucket; 16**4 buckets per stratum.
 PREFIX_DIGITS = 4
@@ -54,7 +54,7 @@ def rank_cutoffs(
     A wanted rank of zero gives an empty text, below every hash.
     """
     narrow = _keyed(df, strata, ids, seed, digits).select(_S, _H, _B)
-    sizes = _bucket_sizes(narrow)
+    sizes = checkpointed(_bucket_sizes(narrow))
     wanted = F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("size"))])).alias("which", "rank")
     targets = sizes.select(_S, _B, "n", "upto", wanted).where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
     places = targets.select(_S, _B, "which", (F.col("rank") - F.col("upto") + F.col("n")).alias("place"))

@@ -70,9 +70,9 @@ def half_open_bin(
     missing: str = "unknown",
 ) -> Column:
     """Label ``[a,b)`` of the bin holding ``value``; anything outside becomes ``missing``."""
-    start = (F.floor((value - low) / width) * width + low).cast("int")
-    label = F.concat(F.lit("["), start, F.lit(","), start + width, F.lit(")"))
-    return F.when((value >= low) & (value < high), label).otherwise(F.lit(missing))
+    # The value is used once, so that filters on the label stay small when Spark inlines it.
+    labels = F.array(*[F.lit(f"[{a},{a + width})") for a in range(low, high, width)])
+    return F.coalesce(F.get(labels, F.floor((value - low) / width).cast("int")), F.lit(missing))
 
 
 def bin_index(value: Column, low: int = AGE_BIN_RANGE[0], high: int = AGE_BIN_RANGE[1], width: int = AGE_BIN_WIDTH) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.cluster import bounded_rows
 from waymark.operators.profile import contingency
 from waymark.operators.windows import class_rank, likeliest_class, running_totals
 
@@ -36,20 +37,22 @@ def ndcg(probabilities: Column, truth: Column, k: int | None = None) -> Column:
 def pair_ndcg(df: DataFrame, rank: str, relevance: str) -> DataFrame:
     """Gain of (estimated rank, relevance) pairs divided by the best reachable gain.
 
-    The best order depends only on how often each relevance occurs, so it is built from
-    those few counts: the rows of one relevance fill one run of consecutive places.
+    The best order depends only on how often each relevance occurs: the rows of one
+    relevance fill one run of consecutive places, and the discounts of all places are
+    summed in parallel.
     """
     gain = lambda rel: F.pow(F.lit(2.0), rel) - 1
     actual = df.agg(F.sum(gain(F.col(relevance)) / F.log2(F.col(rank) + 1)).alias("dcg"))
-    levels = df.groupBy(relevance).agg(F.count(F.lit(1)).alias("cnt"))
-    ordered = running_totals(levels, [], [-F.col(relevance)], {"upto": F.col("cnt")}).where(F.col(relevance) > 0)
-    chunk = 4096
-    first = F.col("upto") - F.col("cnt") + 1
-    starts = ordered.select(relevance, "upto", F.explode(F.sequence(first, F.col("upto"), F.lit(chunk))).alias("s"))
-    places = F.sequence(F.col("s"), F.least(F.col("s") + chunk - 1, F.col("upto")))
-    discounts = F.aggregate(places, F.lit(0.0), lambda acc, p: acc + F.lit(1.0) / F.log2(p + 1))
-    ideal = starts.agg(F.sum(gain(F.col(relevance)) * discounts).alias("ideal"))
-    return actual.select(F.try_divide(F.col("dcg"), ideal.scalar()).alias("ndcg"))
+    levels = bounded_rows(df.where(F.col(relevance) > 0).groupBy(relevance).agg(F.count(F.lit(1)).alias("n")))
+    if levels is None:
+        raise ValueError("relevance must have few different values")
+    ideal, last = F.lit(0.0), 0
+    for level in sorted(levels, key=lambda r: -r[relevance]):
+        first, last = last + 1, last + level["n"]
+        ideal = F.when((F.col("id") >= first) & (F.col("id") <= last), gain(F.lit(level[relevance]))).otherwise(ideal)
+    places = df.sparkSession.range(1, last + 1)
+    best = places.agg(F.sum(ideal / F.log2(F.col("id") + 1)))
+    return actual.select(F.try_divide(F.col("dcg"), best.scalar()).alias("ndcg"))
 
 
 def hit(probabilities: Column, truth: Column) -> Column:

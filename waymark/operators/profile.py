@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.cluster import checkpointed
 from waymark.operators.columns import nominal_columns, numeric_columns
 from waymark.operators.rows import level_grid
 from waymark.operators.windows import running_totals, share_of_total, share_within
@@ -49,11 +50,13 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Dense two-way counts in long form, zeros included, missing values left out."""
-    pairs = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
-    seen = counts(pairs, row, column)
-    grid = level_grid(pairs, [row, column])
-    return grid.join(seen, [row, column], "left").fillna(0, ["n"])
+    """Dense two-way counts in long form, zeros included, missing values left out.
+
+    The grouped counts are written to the checkpoint folder, so the levels, the cells and
+    every statistic on them read the grouped table and the source is read once.
+    """
+    seen = checkpointed(counts(df, row, column)).where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    return level_grid(seen, [row, column]).join(seen, [row, column], "left").fillna(0, ["n"])
 
 
 def class_shares(df: DataFrame, column: str) -> DataFrame:

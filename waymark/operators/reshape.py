@@ -17,12 +17,13 @@ def column_name(prefix: str, value: str) -> str:
     return f"{prefix}_{re.sub(r'[^0-9A-Za-z]+', '_', value).strip('_')}"
 
 
-def key_values(df: DataFrame, key: str) -> list[str]:
-    """Distinct values of a pivot key; missing values are listed as ``NA``."""
-    rows = bounded_rows(df.select(F.coalesce(F.col(key).cast("string"), F.lit("NA"))).distinct())
+def key_values(df: DataFrame, *keys: str) -> dict[str, list[str]]:
+    """Distinct values of pivot keys, read in one pass; missing values are listed as ``NA``."""
+    cells = [F.coalesce(F.col(k).cast("string"), F.lit("NA")).alias(k) for k in keys]
+    rows = bounded_rows(df.select(*cells).unpivot([], list(keys), "key", "value").distinct())
     if rows is None:
-        raise ValueError(f"{key} has more than {LOOKUP_ROWS} distinct values")
-    return sorted(r[0] for r in rows)
+        raise ValueError(f"more than {LOOKUP_ROWS} distinct values of {', '.join(keys)}")
+    return {k: sorted(r["value"] for r in rows if r["key"] == k) for k in keys}
 
 
 def count_columns(key: str, values: Sequence[str]) -> list[Column]:
@@ -33,7 +34,7 @@ def count_columns(key: str, values: Sequence[str]) -> list[Column]:
 
 def spread_counts(df: DataFrame, id_column: str, key: str, values: Sequence[str] | None = None) -> DataFrame:
     """Rows per id and key value, one column per value, zero where there are none."""
-    values = key_values(df, key) if values is None else values
+    values = key_values(df, key)[key] if values is None else values
     return df.groupBy(id_column).agg(*count_columns(key, values))
 
 

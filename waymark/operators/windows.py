@@ -13,10 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.cluster import checkpointed
+from waymark.cluster import checkpointed, null_safe_join
 
 # A group order is computed by one window when the whole table is proven to be this small.
-WINDOW_ROWS = 100_000
+WINDOW_ROWS = 1_000_000
 RANGES = 256
 _STEP = 16
 
@@ -30,7 +30,7 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str = "pcn
     """Share of the group total. The totals are aggregated before the shuffle and joined
     back, so that a hot group is split across tasks."""
     totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
-    return df.join(totals, list(keys)).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
+    return null_safe_join(df, totals, list(keys)).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
 
 
 def _range_bounds(df: DataFrame, total: int, ranges: int) -> list:
@@ -142,7 +142,7 @@ def top_n_ties_hot(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> D
         .groupBy(*keys)
         .agg(F.min(weight).alias("__floor"))
     )
-    return df.join(floor, list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
+    return null_safe_join(df, floor, list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
 
 
 def top_levels(counts: DataFrame, count: str, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.labels import null_to
@@ -40,14 +40,44 @@ def top_devices(sessions: DataFrame, ties: str = "keep") -> DataFrame:
     return top.withColumnRenamed("device_type", "top_device")
 
 
+def session_profile(sessions: DataFrame, ties: str = "keep") -> DataFrame:
+    """``session_totals`` and ``top_devices`` of every user from one scan.
+
+    Rows are grouped by user and device first; totals and the device ranking are then read
+    off one window over a user's few device rows, already partitioned for a join on users.
+    """
+    if ties not in ("keep", "first"):
+        raise ValueError("ties must be keep or first")
+    per_device = sessions.groupBy("user_id", "device_type").agg(
+        F.count(F.lit(1)).alias("device_cnt"), F.sum("secs_elapsed").alias("__secs"), F.count("secs_elapsed").alias("__timed")
+    )
+    user = Window.partitionBy("user_id")
+    ranked = user.orderBy(F.desc("device_cnt")) if ties == "keep" else user.orderBy(F.desc("device_cnt"), F.asc_nulls_last("device_type"))
+    place = F.rank() if ties == "keep" else F.row_number()
+    total = F.sum("__secs").over(user)
+    joined = per_device.withColumns(
+        {
+            "__place": place.over(ranked),
+            "avg_secs": F.try_divide(total, F.sum("__timed").over(user)),
+            "sum_secs": F.coalesce(total, F.lit(0.0)),
+            "cnt_actions": F.sum("device_cnt").over(user),
+        }
+    )
+    return joined.where(F.col("__place") == 1).select(
+        "user_id", "avg_secs", "sum_secs", "cnt_actions", F.col("device_type").alias("top_device"), "device_cnt"
+    )
+
+
 def session_features(sessions: DataFrame, action_details: Sequence[str] | None = None, device_types: Sequence[str] | None = None) -> DataFrame:
     """Counts by action detail and device, and totals, all in one grouping by user.
 
     The value lists fix the columns. Pass the training lists for new data; if they are not
     given they are read from the table, which takes one more pass.
     """
-    details = key_values(sessions, "action_detail") if action_details is None else action_details
-    devices = key_values(sessions, "device_type") if device_types is None else device_types
+    if action_details is None or device_types is None:
+        seen = key_values(sessions, "action_detail", "device_type")
+    details = seen["action_detail"] if action_details is None else action_details
+    devices = seen["device_type"] if device_types is None else device_types
     return sessions.groupBy("user_id").agg(
         *count_columns("action_detail", details),
         *count_columns("device_type", devices),
@@ -67,8 +97,7 @@ def users_with_sessions(users: DataFrame, sessions: DataFrame, ties: str = "keep
     """All users with totals, top device and seconds per action; no sessions gives nulls
     and the device ``unknown``."""
     known = sessions.where(F.col("user_id") != "")
-    joined = left_join_on(users, session_totals(known), "id", "user_id")
-    joined = left_join_on(joined, top_devices(known, ties), "id", "user_id")
+    joined = left_join_on(users, session_profile(known, ties), "id", "user_id")
     return joined.withColumns(
         {
             "secs_per_action": ratio(F.col("sum_secs"), F.col("cnt_actions")),
