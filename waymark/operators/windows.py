@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.cluster import checkpointed, null_safe_join
+from waymark.cluster import as_lookup, checkpointed, null_safe_join
 
 # A group order is computed by one window when the whole table is proven to be this small.
 WINDOW_ROWS = 1_000_000
@@ -131,8 +131,8 @@ def top_n_ties(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> DataF
 def top_n_ties_hot(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> DataFrame:
     """``top_n_ties`` for groups in which very many rows may tie.
 
-    The n-th largest weight of each group is found first; the rows are then matched
-    against it by a join, which adaptive execution can split for a hot group.
+    The n-th largest weight of each group is found first, and the rows are matched against
+    it. The rows stay where they are unless there are more groups than a lookup may hold.
     """
     window = Window.partitionBy(*keys).orderBy(F.desc(weight))
     narrow = df.select(*keys, weight).where(F.col(weight).isNotNull())
@@ -142,7 +142,7 @@ def top_n_ties_hot(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> D
         .groupBy(*keys)
         .agg(F.min(weight).alias("__floor"))
     )
-    return null_safe_join(df, floor, list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
+    return null_safe_join(df, as_lookup(floor), list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
 
 
 def top_levels(counts: DataFrame, count: str, n: int) -> DataFrame:
