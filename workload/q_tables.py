@@ -409,6 +409,19 @@ def o3(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
+@query(
+    "O4_sorted_importance",
+    sql(
+        "SELECT feature, round(sum(importance), 6) AS importance FROM (SELECT split_part(p_name, ' ', 1) AS feature, p_retailprice / 1000000 AS importance FROM part) AS f GROUP BY feature ORDER BY importance DESC, feature"
+    ),
+)
+def o4(spark, folder):
+    from waymark.features.prepare import grouped_importance
+
+    named = F.regexp_replace("p_name", " ", "_").alias("feature")
+    return grouped_importance(table(spark, folder, "part").select(named, (F.col("p_retailprice") / 1000000).alias("importance")))
+
+
 @query("C15_regions", sql("SELECT region, count(*) AS n FROM (SELECT CASE WHEN country_destination = 'NDF' THEN 'NDF' WHEN destination_language = 'africa' THEN 'EUR' ELSE 'US' END AS region FROM users LEFT JOIN countries USING (country_destination)) AS u GROUP BY region", USERS, COUNTRIES))
 def c15(spark, folder):
     joined = N.natural_join(users(spark, folder).select("country_destination"), countries(spark, folder))
