@@ -4,7 +4,7 @@ The join follows the pivot scheme of k-nearest-neighbour joins on shared-nothing
 
 1. Equal vectors are collapsed first. A vector keeps its k+1 smallest ids, which is all any
    row can ask of a group of copies, so a large group of copies costs one search.
-2. A fixed number of pivots splits the space into cells. Cell radii and the k smallest
+2. A bounded number of pivots splits the space into cells. Cell radii and the k smallest
    pivot distances per cell bound how far the k-th neighbour of a cell's rows can be.
 3. A candidate is sent to every cell it may matter to by the triangle inequality, never
    fewer, so the result is exact.
@@ -30,7 +30,8 @@ from waymark.features.prepare import _level_lists, _moments
 from waymark.features.resample import class_sizes, draws_with_replacement, numbered, repeated
 from waymark.operators.columns import nominal_columns
 
-PIVOTS = 64
+# Cells grow in number with the square root of the candidates, within these limits.
+FEWEST_PIVOTS, MOST_PIVOTS = 16, 2048
 TILE_QUERIES = 1024
 TILE_CANDIDATES = 8192
 _SLACK = 1e-9
@@ -76,16 +77,20 @@ def _route_column(pivots: np.ndarray, reach: dict[str, np.ndarray]):
 def _reach(pivots: np.ndarray, queries: list, nearest: list, k: int) -> dict[str, np.ndarray]:
     """Largest pivot distance at which a candidate can still be a neighbour, per class and cell."""
     between = _distances(pivots, pivots)
-    own: dict[str, list[tuple[int, float]]] = {}
+    known: dict[str, tuple[list[int], list[float]]] = {}
     for row in nearest:
-        own.setdefault(row["grp"], []).append((row["cell"], row["d"]))
+        cells, away = known.setdefault(row["grp"], ([], []))
+        cells.append(row["cell"])
+        away.append(row["d"])
+    own = {group: (np.array(cells), np.array(away)) for group, (cells, away) in known.items()}
     out: dict[str, np.ndarray] = {}
     for row in queries:
         limits = out.setdefault(row["grp"], np.full(len(pivots), -1.0))
-        bounds = sorted(between[row["cell"], cell] + d for cell, d in own.get(row["grp"], []))
-        if bounds:
+        if row["grp"] in own:
+            cells, away = own[row["grp"]]
+            bounds = between[row["cell"], cells] + away
             # Fewer than k candidates in the class: every one of them is a neighbour.
-            kth = bounds[k - 1] if len(bounds) >= k else math.inf
+            kth = np.partition(bounds, k - 1)[k - 1] if len(bounds) >= k else math.inf
             limits[row["cell"]] = (2 * row["radius"] + kth) * (1 + _SLACK) + _SLACK
     return out
 
@@ -122,7 +127,7 @@ def nearest(
     vector: str = "vector",
     within: str | None = None,
     skip_self: bool = True,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     tile: tuple[int, int] = (TILE_QUERIES, TILE_CANDIDATES),
 ) -> DataFrame:
     """``(id, neighbour, distance, place)``: the k nearest candidates of every query row.
@@ -136,6 +141,9 @@ def nearest(
     offered = candidates.select(*shape).withColumnRenamed("qid", "nid").withColumn("nkey", _vector_key("vector"))
     wanted = k + 1 if skip_self else k
 
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(candidates.count())))
+
     copies = Window.partitionBy("grp", "nkey").orderBy("nid")
     kept = offered.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= wanted).drop("r")
     middle = kept.select("vector", "nkey").dropDuplicates(["nkey"]).orderBy("nkey").limit(pivots).collect()
@@ -181,7 +189,7 @@ def nearest(
 
 def _cells(df: DataFrame, per_cell: int = 1) -> list:
     """Per-cell rows on the driver; their number is at most pivots x classes x ``per_cell``."""
-    rows = bounded_rows(df, LOOKUP_ROWS * per_cell)
+    rows = bounded_rows(df, 10 * LOOKUP_ROWS * per_cell)
     if rows is None:
         raise ValueError("too many classes for a neighbour search within classes")
     return rows

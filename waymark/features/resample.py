@@ -140,10 +140,8 @@ def draws_with_replacement(totals: Mapping[str, tuple[int, int]], spark, seed: i
             ends.append((stratum, rows, start, start + draws))
             start += draws
     line = spark.range(start)
-    which = F.lit(None).cast("int")
-    for i, (_, _, low, high) in enumerate(ends):
-        which = F.when((F.col("id") >= low) & (F.col("id") < high), F.lit(i)).otherwise(which)
-    line = line.withColumn("i", which)
+    passed = F.filter(F.lit([e[3] for e in ends]).cast("array<bigint>"), lambda end: end <= F.col("id"))
+    line = line.withColumn("i", F.size(passed))
     pick = lambda k, kind: F.element_at(F.lit([e[k] for e in ends]).cast(f"array<{kind}>"), F.col("i") + 1)
     if not ends:
         return spark.createDataFrame([], "stratum string, ordinal bigint, copies bigint")

@@ -19,7 +19,7 @@ AGE_BIN_WIDTH = 5
 
 def compact_timestamp_date(column: Column) -> Column:
     """Date of a ``yyyyMMddHHmmss`` text."""
-    return F.to_date(F.try_to_timestamp(column, F.lit("yyyyMMddHHmmss")))
+    return F.try_to_date(column, "yyyyMMddHHmmss")
 
 
 def day_gap(later: Column, earlier: Column) -> Column:

@@ -71,7 +71,7 @@ def lenient_number(column: Column) -> Column:
 
 
 def date_by_pattern(column: Column, pattern: str = "yyyy-MM-dd") -> Column:
-    return F.to_date(F.try_to_timestamp(column, F.lit(pattern)))
+    return F.try_to_date(column, pattern)
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
