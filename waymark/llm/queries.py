@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import toxicity
+from waymark.llm import decontaminate, minhash, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_minhash": minhash.op8_minhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_mixing": mixing.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+}

@@ -34,3 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Ids (one or two longs a row) that a join may broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few longs per row, marked for broadcast if its row count is proven
+    to be within ``limit``. A larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
