@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, minhash, mixing, toxicity
+from waymark.llm import decontaminate, maxscore, minhash, mixing, personal, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_personal": personal.op5_personal,
+    "op7_urls": urls.op7_urls,
     "op8_minhash": minhash.op8_minhash,
+    "op9_maxscore": maxscore.op9_maxscore,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op7_urls": urls.SQL,
+    "op9_maxscore": maxscore.SQL,
 }
