@@ -1,11 +1,16 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, personal data, source mixing."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, personal data, source mixing.
+
+Each stage takes the documents that its predecessor kept and returns documents with the same
+columns; the last one adds where the mix places each copy. What a stage does with missing,
+empty, repeated or very long rows is said by the operator it calls.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import toxicity
+from waymark.llm import decontaminate, minhash, mixing, personal, toxicity
 from waymark.llm.tables import scratch, table
 
 
@@ -16,11 +21,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.round("__score", 6) < 0.5).drop("__score")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group stays."""
+    return minhash.without_near_duplicates(docs)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item stay."""
+    return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data is replaced by its kind."""
+    return personal.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, with the epoch and block of each copy."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaked),
+    ("personal_data", redact_personal),
+    ("mixing", mix_sources),
 ]
 
-# The classifier is outside of SQL; tests/llm hold the stages against brute force.
+# The classifier is outside of SQL; tests/llm hold every stage against brute force.
 ORACLE_SQL = None
 
 

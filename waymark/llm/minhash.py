@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import text_arrays
@@ -159,6 +159,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each group, all columns kept.
+
+    An id is one document: it stays if one of its rows stands for its group, and one of its
+    rows stays, the one with the smallest text. Rows without an id all stay.
+    """
+    found = near_duplicates(docs).groupBy("doc_id").agg(
+        F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stands"), F.count("*").alias("rows")
+    )
+    found = stored(found.where("doc_id is not null and (stands = 0 or rows > 1)"), "gone")
+    gone = narrow(found.where("stands = 0").select(F.col("doc_id").alias("__id")))
+    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = found.where("stands = 1").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return kept
+    again, match = narrow(again), F.col("doc_id") == F.col("__id")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    repeated = kept.join(again, match, "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return kept.join(again, match, "left_anti").unionByName(repeated)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

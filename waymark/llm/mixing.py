@@ -90,12 +90,13 @@ def exponent(totals: DataFrame, all_tokens: int, sources: int, budget: int, targ
 
 
 def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The mix: one row per document copy, ``doc_id, source, n_tokens, epoch, block, place``.
+    """The mix: one row per document copy, ``doc_id, text_hash, source, n_tokens, epoch, block,
+    place``; ``text_hash`` is ``xxhash64(text)``.
 
     ``budget`` is the number of tokens of the mix (default: as many as there are), ``place``
     the order inside a block.
     """
-    sized = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
     sized = stored(sized, "sized")
     totals = stored(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
     all_tokens, rows, sources = totals.agg(F.sum("tokens"), F.sum("rows"), F.count("*")).first()
@@ -127,6 +128,7 @@ def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_toke
     blocks = max(1, math.ceil(budget / block_tokens))
     return placed.where("at < quota").select(
         "doc_id",
+        "text_hash",
         "source",
         "n_tokens",
         "epoch",
@@ -136,7 +138,17 @@ def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_toke
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), Target(max_repeats=MAX_REPEATS))
+    return mixed(table(spark, sf_dir, "documents"), Target(max_repeats=MAX_REPEATS)).drop("text_hash")
+
+
+def mixed_documents(docs: DataFrame, target: Target = Target(max_repeats=MAX_REPEATS), budget: int | None = None) -> DataFrame:
+    """The documents of the mix with all their columns, plus ``mix_epoch, mix_block`` and
+    ``mix_place`` (which replace columns of these names)."""
+    added = {"epoch": "mix_epoch", "block": "mix_block", "place": "mix_place"}
+    copies = mixed(docs, target, budget).dropDuplicates(["doc_id", "text_hash", "epoch"])
+    copies = copies.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), *[F.col(c).alias(n) for c, n in added.items()])
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.drop(*added.values()).join(stored(copies, "copies"), match).drop("__id", "__hash")
 
 
 SQL = f"""
