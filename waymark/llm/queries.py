@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, maxscore, minhash, mixing, personal, toxicity, urls
+from waymark.llm import decontaminate, language_model, maxscore, minhash, mixing, personal, token_counts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_personal": personal.op5_personal,
+    "op6_language_model": language_model.op6_language_model,
     "op7_urls": urls.op7_urls,
     "op8_minhash": minhash.op8_minhash,
     "op9_maxscore": maxscore.op9_maxscore,
