@@ -28,21 +28,19 @@ and ``text`` are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import text_arrays
 from waymark.llm.tables import fold, stored, table
+from waymark.llm.units import UNIT_BYTES, distinct, in_units, loose, packed, range_edges, squeezed, texts_of, units_of, unpacked
 
 FOLDS, HELD_OUT = 7, 2
-UNIT_BYTES = 16 << 20
 BUCKETS, CELLS, PER_OCTAVE = 48, 400, 8
 PAIR_SHIFT = np.uint64(11)
 _END = np.uint64(0x51ED270B9F2C3A57)
@@ -58,30 +56,6 @@ class Weights:
     by_bucket: np.ndarray
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
-
-
-def _loose(blob: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype=kind)
-
-
-def _packed(names: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted names as low and high halves of their differences."""
-    steps = np.diff(names, prepend=np.uint64(0))
-    return steps.astype(np.uint32).tobytes(), _squeezed((steps >> np.uint64(32)).astype(np.uint32))
-
-
-def _unpacked(low: bytes, high: bytes) -> np.ndarray:
-    steps = np.frombuffer(low, np.uint32).astype(np.uint64) | (_loose(high, np.uint32).astype(np.uint64) << np.uint64(32))
-    return np.cumsum(steps, dtype=np.uint64)
-
-
-def _distinct(values: np.ndarray) -> np.ndarray:
-    values = np.sort(values)
-    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
-
-
 class Unit:
     """The tokens of some documents: names of words and pairs, and where they stand."""
 
@@ -95,7 +69,7 @@ class Unit:
         tokens[is_word] = hashes
         previous = np.concatenate([[_END], tokens[:-1]]).astype(np.uint64)
         pairs = text_arrays.mixed(previous * _PAIR + tokens) >> PAIR_SHIFT
-        self.words, self.pairs = _distinct(tokens), _distinct(pairs)
+        self.words, self.pairs = distinct(tokens), distinct(pairs)
         self.word_at, self.pair_at = np.searchsorted(self.words, tokens), np.searchsorted(self.pairs, pairs)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
 
@@ -106,41 +80,27 @@ class Unit:
 
     def ranges(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the hash ranges begin among the words and among the pairs."""
-        edges = np.array([((i << 64) + parts - 1) // parts for i in range(1, parts)], dtype=np.uint64)
+        edges = range_edges(parts)
         cut = lambda names, edges: np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
         return cut(self.words, edges), cut(self.pairs, edges >> PAIR_SHIFT)
 
     def own(self, at: np.ndarray) -> np.ndarray:
         """For each token, how often its name stands in the same document."""
         key = (self.doc.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
-        names = _distinct(key)
+        names = distinct(key)
         place = np.searchsorted(names, key)
         return np.bincount(place, minlength=len(names))[place]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    rows = list(batches)
-    if rows:
-        whole = pa.Table.from_batches(rows)
-        units = np.asarray(whole["unit"])
-        for unit in np.unique(units):
-            yield int(unit), whole.filter(pa.array(units == unit)).combine_chunks()
-
-
-def _texts(rows: pa.Table) -> pa.Array:
-    texts = rows["text"].cast(pa.large_string())
-    return texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-
-
 def _asked(parts: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _units(batches):
-            unit = Unit(_texts(rows))
+        for number, rows in units_of(batches):
+            unit = Unit(texts_of(rows))
             word_counts, pair_counts = unit.counts(np.asarray(rows["training"]).astype(bool))
             words, pairs = unit.ranges(parts)
             for part in range(parts):
                 w, p = slice(words[part], words[part + 1]), slice(pairs[part], pairs[part + 1])
-                columns = [*_packed(unit.words[w]), _squeezed(word_counts[w]), *_packed(unit.pairs[p]), _squeezed(pair_counts[p])]
+                columns = [*packed(unit.words[w]), squeezed(word_counts[w]), *packed(unit.pairs[p]), squeezed(pair_counts[p])]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "unit": pa.array([number], pa.int32()), **{f"b{i}": [c] for i, c in enumerate(columns)}})
 
     return ask
@@ -152,9 +112,9 @@ _ANSWERED = "part int, unit int, words binary, pairs binary, tokens long, distin
 
 def _totals(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The sums over all lists, in the order of each list, and by distinct name."""
-    distinct = _distinct(np.concatenate(names))
-    places = [np.searchsorted(distinct, n) for n in names]
-    sums = np.zeros(len(distinct), np.int64)
+    known = distinct(np.concatenate(names))
+    places = [np.searchsorted(known, n) for n in names]
+    sums = np.zeros(len(known), np.int64)
     for place, count in zip(places, counts, strict=True):
         sums[place] += count
     return [sums[p] for p in places], sums
@@ -162,8 +122,8 @@ def _totals(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.
 
 def _answered(asked: pa.Table) -> pa.Table:
     column = lambda i: asked[f"b{i}"].to_pylist()
-    words, by_word = _totals([_unpacked(*x) for x in zip(column(0), column(1), strict=True)], [_loose(x) for x in column(2)])
-    pairs, _ = _totals([_unpacked(*x) for x in zip(column(3), column(4), strict=True)], [_loose(x) for x in column(5)])
+    words, by_word = _totals([unpacked(*x) for x in zip(column(0), column(1), strict=True)], [loose(x) for x in column(2)])
+    pairs, _ = _totals([unpacked(*x) for x in zip(column(3), column(4), strict=True)], [loose(x) for x in column(5)])
     n = asked.num_rows
     # The totals of the range go with its first answer.
     first = lambda value: pa.array([int(value), *[0] * (n - 1)], pa.int64())
@@ -171,8 +131,8 @@ def _answered(asked: pa.Table) -> pa.Table:
         {
             "part": asked["part"],
             "unit": asked["unit"],
-            "words": pa.array(map(_squeezed, words), pa.binary()),
-            "pairs": pa.array(map(_squeezed, pairs), pa.binary()),
+            "words": pa.array(map(squeezed, words), pa.binary()),
+            "pairs": pa.array(map(squeezed, pairs), pa.binary()),
             "tokens": first(by_word.sum()),
             "distinct": first((by_word > 0).sum()),
         }
@@ -198,9 +158,9 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 def _counted(rows: pa.Table, answers: pa.Table) -> pa.Table:
     rows = rows.combine_chunks()
-    unit = Unit(_texts(rows))
+    unit = Unit(texts_of(rows))
     answers = answers.sort_by("part")
-    merged = lambda name: np.concatenate([np.zeros(0, np.int64), *map(_loose, answers[name].to_pylist())])
+    merged = lambda name: np.concatenate([np.zeros(0, np.int64), *map(loose, answers[name].to_pylist())])
     words, pairs = merged("words")[unit.word_at], merged("pairs")[unit.pair_at]
     training = np.asarray(rows["training"]).astype(bool)
 
@@ -222,8 +182,8 @@ def _counted(rows: pa.Table, answers: pa.Table) -> pa.Table:
             "doc_ids": one(rows["doc_id"].to_pylist(), pa.list_(pa.int64())),
             "held_out": one(~training, pa.list_(pa.bool_())),
             "sizes": one(np.diff(unit.offsets), pa.list_(pa.int32())),
-            "words": one(_squeezed(words), pa.binary()),
-            "pairs": one(_squeezed(pairs), pa.binary()),
+            "words": one(squeezed(words), pa.binary()),
+            "pairs": one(squeezed(pairs), pa.binary()),
             "cells": one(cells, pa.list_(pa.int32())),
             "cell_n": one(add(), pa.list_(pa.float64())),
             "cell_pair": one(add(share), pa.list_(pa.float64())),
@@ -234,16 +194,14 @@ def _counted(rows: pa.Table, answers: pa.Table) -> pa.Table:
     )
 
 
-def counted(docs: DataFrame, training: Column) -> DataFrame:
+def counted(docs: DataFrame, training: Column, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """Units of documents whose tokens carry their training counts, stored.
 
     ``training`` says which documents the model learns from.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("training"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units = max(1, math.ceil(size / UNIT_BYTES))
-    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int")).repartition(units, "unit")
-    answers = dealt.mapInArrow(_asked(units), _ASKED).groupBy("part").applyInArrow(_answered, _ANSWERED)
+    dealt, count = in_units(docs, unit_bytes)
+    answers = dealt.mapInArrow(_asked(count), _ASKED).groupBy("part").applyInArrow(_answered, _ANSWERED)
     return stored(dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_counted, _COUNTED), "counted")
 
 
@@ -273,7 +231,7 @@ def scored(units: DataFrame, model: Weights) -> DataFrame:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"])
                 at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                words, pairs = _loose(row["words"]), _loose(row["pairs"])
+                words, pairs = loose(row["words"]), loose(row["pairs"])
                 back = np.maximum(np.arange(len(words)) - 1, 0)
                 back[at] = at + sizes - 1
                 context = words[back]
