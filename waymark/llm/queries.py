@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, language_model, maxscore, minhash, mixing, personal, token_counts, toxicity, urls
+from waymark.llm import decontaminate, language_model, maxscore, minhash, mixing, personal, suffix_dedup, token_counts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_personal": personal.op5_personal,
