@@ -2,11 +2,12 @@
 
 A document is the set of its distinct 5-word shingles. Each set gets 128 minima of hash
 functions. Thirty-two bands of four full minima find candidates: a pair at similarity 0.75
-shares no band with a probability of 5e-6. Of each minimum only the two low bits are kept;
-the packed 32 bytes of two sets are compared by bit counts. Unequal minima agree on two bits
-in a quarter of all cases, so the estimate is (agreement - 1/4) / (3/4). Its standard error is
-0.046 at most near 0.75; candidates with an estimate below 0.45 (six errors) are left out, the
-rest is confirmed on the full sets.
+shares no band with a probability of 5e-6. Of each minimum only the four low bits are kept,
+packed to 64 bytes, and two sets are compared by bit counts. Unequal minima agree on four bits
+in a sixteenth of all cases, so the estimate is (agreement - 1/16) / (15/16). Candidates whose
+estimate is more than 4.25 standard errors below 0.75 are left out, as are those whose set
+sizes alone rule the similarity out. The rest is confirmed on the full sets. Sets in crowded
+buckets get a finer signature of 1024 minima, because there many pairs lie just below.
 
 Groups of copies never become all pairs:
 
@@ -23,6 +24,7 @@ Repeated rows are copies of each other. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,13 @@ from waymark.llm.tables import narrow, stored, table
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-LEAST_ESTIMATE = 0.45
-_K = BANDS * ROWS
+COARSE, FINE = BANDS * ROWS, 1024
+ERRORS = 4.25
+_BITS = 4
+_PER_LONG = 64 // _BITS
 _RNG = np.random.Generator(np.random.PCG64(8))
-_FACTORS = _RNG.integers(0, 2**64, _K, dtype=np.uint64) | np.uint64(1)
-_TERMS = _RNG.integers(0, 2**64, _K, dtype=np.uint64)
+_FACTORS = _RNG.integers(0, 2**64, FINE, dtype=np.uint64) | np.uint64(1)
+_TERMS = _RNG.integers(0, 2**64, FINE, dtype=np.uint64)
 _BAND_SEEDS = _RNG.integers(0, 2**64, BANDS, dtype=np.uint64)
 _SIGNED = "doc_id long, n long, f1 long, f2 long, bands array<long>, bits array<long>"
 
@@ -56,6 +60,31 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
+def _minima(values: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
+    """``count`` rows of minima of the value runs that begin at ``at``."""
+    out = np.zeros((count, len(at)), np.uint64)
+    if len(at):
+        for k in range(count):
+            out[k] = np.minimum.reduceat(values * _FACTORS[k] + _TERMS[k], at)
+    return out
+
+
+def _packed(minima: np.ndarray) -> np.ndarray:
+    """The low bits of the minima, sixteen to a long."""
+    # The low bits of a product mod 2^64 are not mixed, so the minima are mixed first.
+    low = text_arrays.mixed(minima) & np.uint64(2**_BITS - 1)
+    bits = np.zeros((len(minima) // _PER_LONG, minima.shape[1]), np.uint64)
+    for k in range(len(minima)):
+        bits[k // _PER_LONG] |= low[k] << np.uint64(_BITS * (k % _PER_LONG))
+    return bits
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    """One list for each column of a matrix."""
+    ends = np.arange(matrix.shape[1] + 1, dtype=np.int32) * len(matrix)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(matrix.T).ravel().view(np.int64)))
+
+
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size, set fingerprint, band keys and packed low bits of every document."""
     for batch in batches:
@@ -63,36 +92,54 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, offsets = shingle_sets(piece["text"])
             full = np.flatnonzero(np.diff(offsets) > 0)
             n, at = len(full), offsets[:-1][full]
-            fingerprints, minima = np.zeros((2, n), np.uint64), np.zeros((_K, n), np.uint64)
+            fingerprints = np.zeros((2, n), np.uint64)
             if n:
                 fingerprints[0] = np.add.reduceat(values, at)
                 fingerprints[1] = np.add.reduceat(text_arrays.mixed(values ^ _TERMS[0]), at)
-                for k in range(_K):
-                    minima[k] = np.minimum.reduceat(values * _FACTORS[k] + _TERMS[k], at)
+            minima = _minima(values, at, COARSE)
             keys = np.repeat(_BAND_SEEDS[:, None], n, axis=1)
             for row in range(ROWS):
                 keys = text_arrays.mixed(keys ^ minima[row::ROWS])
-            # The top two bits of a product mod 2^64 are well mixed; the low ones are not.
-            low = text_arrays.mixed(minima) & np.uint64(3)
-            bits = np.zeros((_K // 32, n), np.uint64)
-            for k in range(_K):
-                bits[k // 32] |= low[k] << np.uint64(2 * (k % 32))
-            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(m)), pa.array(np.ascontiguousarray(m.T).ravel().view(np.int64)))
             place = np.full(piece.num_rows, -1)
             place[full] = np.arange(n)
             take = pa.array(place, mask=place < 0)
             columns = [pa.array(np.diff(offsets))]
             columns += [pa.array(x.view(np.int64)).take(take) for x in fingerprints]
-            columns += [lists(keys).take(take), lists(bits).take(take)]
+            columns += [_lists(keys).take(take), _lists(_packed(minima)).take(take)]
             yield pa.RecordBatch.from_arrays([piece["doc_id"].cast(pa.int64()), *columns], ["doc_id", "n", "f1", "f2", "bands", "bits"])
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Collision-corrected similarity from two packed signatures."""
-    differ = [a[i].bitwiseXOR(b[i]) for i in range(_K // 32)]
-    odd = [d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)) for d in differ]
-    agreement = 1 - sum((F.bit_count(x) for x in odd[1:]), F.bit_count(odd[0])) / F.lit(float(_K))
-    return (agreement - 0.25) / 0.75
+def _finely_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The finer signature of documents that have a shingle."""
+    for batch in batches:
+        for piece in text_arrays.pieces(batch):
+            values, offsets = shingle_sets(piece["text"])
+            yield pa.RecordBatch.from_arrays([piece["doc_id"], _lists(_packed(_minima(values, offsets[:-1], FINE)))], ["id", "bits"])
+
+
+def estimate(a: Column, b: Column, count: int) -> Column:
+    """Collision-corrected similarity from two packed signatures of ``count`` minima."""
+    unequal = F.lit(0)
+    for i in range(count // _PER_LONG):
+        differ = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unequal = unequal + F.bit_count(differ)
+    chance = 1.0 / 2**_BITS
+    return (1 - unequal / F.lit(float(count)) - chance) / (1 - chance)
+
+
+def least_estimate(count: int) -> float:
+    """The lowest estimate that a link may have."""
+    chance = 1.0 / 2**_BITS
+    agreement = PERCENT / 100 * (1 - chance) + chance
+    return PERCENT / 100 - ERRORS * math.sqrt(agreement * (1 - agreement) / count) / (1 - chance)
+
+
+def _possible(a: str, b: str, count: int) -> Column:
+    """Whether the set sizes and the estimate of two classes allow a link."""
+    sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= PERCENT * F.greatest(f"n_{a}", f"n_{b}")
+    return sizes & (estimate(F.col(f"bits_{a}"), F.col(f"bits_{b}"), count) >= least_estimate(count))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +156,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that pass the estimate and the exact test."""
-    bits = classes.select(F.col("id").alias("__id"), F.col("bits").alias("__bits"))
-    for side in ("a", "b"):
-        renamed = bits.withColumnsRenamed({"__id": side, "__bits": f"bits_{side}"})
-        pairs = pairs.join(renamed, side)
-    pairs = pairs.where(estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE).select("a", "b")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that pass the exact test."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return pairs.mapInArrow(_confirmed, "a long, b long")
@@ -138,7 +180,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(texts, "texts")
 
     stars = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_links(stars, classes, texts), "links")
+    signature = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    stars = stars.join(signature("a"), "a").join(signature("b"), "b").where(_possible("a", "b", COARSE)).select("a", "b")
+    links = stored(_links(stars, texts), "links")
     first = connected_components(links)
 
     grouped = buckets.join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -147,11 +191,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("band", "main")
     mixed = stored(grouped.join(main, "band"), "mixed")
-    others = mixed.where("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("component_a"))
-    across = mixed.select("band", F.col("id").alias("b"), F.col("component").alias("component_b"), "main")
-    across = others.join(across, "band").where("component_a <> component_b and (component_b = main or a < b)")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(across.join(stars, ["a", "b"], "left_anti"), classes, texts)
+    crowded = texts.join(mixed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = crowded.mapInArrow(_finely_signed, "id long, bits array<long>")
+    short = F.transform("bands", lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int")).alias("bands")
+    mixed = stored(mixed.join(fine.join(classes.select("id", "n", short), "id"), "id"), "mixed")
+    sides = {x: mixed.select("band", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "bits", "bands")]) for x in "ab"}
+    # A pair is taken in the first band that it shares, so it comes once.
+    equal = F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x))
+    across = sides["a"].where("component_a <> main").drop("main").join(sides["b"], "band")
+    across = across.where("component_a <> component_b and (component_b = main or id_a < id_b)").where(_possible("a", "b", FINE))
+    across = across.where(F.filter(equal, lambda x: x.isNotNull())[0] == F.pmod("band", F.lit(2**31 - 1)).cast("int"))
+    across = stored(across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")), "across")
+    more = _links(across.join(stars, ["a", "b"], "left_anti"), texts)
 
     components = connected_components(links.unionByName(more))
     rows = sets.select("doc_id", *key)
