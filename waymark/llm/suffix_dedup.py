@@ -40,19 +40,22 @@ from waymark.llm.units import UNIT_BYTES, in_units, loose, packed, range_edges,
 LENGTH, GRAM = 50, 19
 STARTS = LENGTH - GRAM + 1  # grams of a string, and the most strings of one piece
 HOT = 10_000  # pieces of an anchor in the corpus
-BATCH = 20_000  # pieces that are indexed together
+BATCH = 2_500  # pieces that are indexed together, so that the arrays of a round stay in cache
 _SALT = np.uint64(0x8F3A6C1D5B79E247)
 
 
 class Index:
     """Transform, common prefixes, and string number and length of all suffixes of a collection.
 
-    ``codes`` are the symbols before the suffixes plus one (0: the suffix is a whole string).
+    ``codes`` name the symbols before the suffixes (0: the suffix is a whole string).
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         n = len(starts)
-        self.codes, self.common = np.zeros(n, np.uint16), np.zeros(n, np.uint8)
+        present = np.bincount(data, minlength=256) > 0
+        kind = np.uint8 if present.sum() < 256 else np.uint16  # one byte per code sorts in one pass
+        self.symbols = np.cumsum(present).astype(kind)  # code of each symbol, from 1
+        self.codes, self.common = np.zeros(n, kind), np.zeros(n, np.uint8)
         self.string, self.length = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
         active, place = np.arange(n), np.arange(n)  # the strings, and where their longest suffix is
         for round_ in range(1, int(lengths.max(initial=0)) + 1):
@@ -63,7 +66,7 @@ class Index:
 
     def _insert(self, round_: int, active: np.ndarray, place: np.ndarray, symbols: np.ndarray, n: int) -> None:
         """One more symbol for each active string, whose longest suffix is at ``place``."""
-        self.codes[place] = symbols.astype(np.uint16) + 1
+        self.codes[place] = self.symbols[symbols]
         order = np.argsort(self.codes, kind="stable")  # last to first: all symbols, then all first symbols
         ended = len(order) - np.count_nonzero(self.codes)
         rank = np.empty(len(order), np.int64)
@@ -98,10 +101,12 @@ class Index:
         same = self.codes[low] == self.codes[high]
         ok, low, high = ok[same], low[same], high[same]
         if len(ok):
-            # Pairs of begin and end; what lies between two pairs is computed and left out.
-            bounds = np.stack([low + 1, high + 1], axis=1).ravel()
+            # Pairs of begin and end. From the last pair to the first no pair begins behind the
+            # end of the one before it, so what reduceat takes between two pairs is one cell.
+            turn = np.argsort(-low, kind="stable")
+            bounds = np.stack([low[turn] + 1, high[turn] + 1], axis=1).ravel()
             padded = np.append(self.common, np.uint8(0))
-            out[ok] = np.minimum.reduceat(padded, bounds)[::2] + np.uint8(1)
+            out[ok[turn]] = np.minimum.reduceat(padded, bounds)[::2] + np.uint8(1)
         return out
 
     def repeated(self, owner: np.ndarray) -> np.ndarray:
@@ -302,15 +307,31 @@ def _indexed(sent: pa.Table) -> pa.Table:
     length = np.concatenate([loose(x, np.uint8) for x in column("lengths")]).astype(np.int64)
     data = np.concatenate([loose(x, np.uint8) for x in column("bytes")])
     starts = np.cumsum(length) - length
-    order = np.argsort(key, kind="stable")
-    masks = np.zeros(len(key), np.uint32)
+    name = text_arrays.PrefixHash(data).of(starts, starts + length)
+    # Equal strings of several units are one string of the smallest owner.
+    order = np.lexsort((owner, name, key))
+    key, owner, name, length, starts = key[order], owner[order], name[order], length[order], starts[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    # A key with one string has nothing to compare; the others are indexed, a key at a time.
+    one_key = key[first]
+    alone = np.ones(len(first), bool)
+    alone[1:] &= one_key[1:] != one_key[:-1]
+    alone[:-1] &= one_key[1:] != one_key[:-1]
+    some, found = first[~alone], np.zeros(len(first), np.uint32)
+    places = np.flatnonzero(~alone)
     begin = 0
-    while begin < len(order):
-        end = min(begin + BATCH, len(order))
-        end = int(np.searchsorted(key[order], key[order[end - 1]], side="right"))  # a key stays together
-        some = order[begin:end]
-        masks[some] = Index(data, starts[some], length[some]).repeated(owner[some])
+    while begin < len(some):
+        end = min(begin + BATCH, len(some))
+        end = int(np.searchsorted(key[some], key[some[end - 1]], side="right"))
+        part = some[begin:end]
+        stop = np.cumsum(length[part])
+        at = np.repeat(starts[part] - (stop - length[part]), length[part]) + np.arange(stop[-1])
+        found[places[begin:end]] = Index(data[at], stop - length[part], length[part]).repeated(owner[part])
         begin = end
+    masks = np.zeros(len(key), np.uint32)
+    masks[order] = np.where(owner > owner[first][group], np.uint32(2**32 - 1), found[group])
     ends = np.cumsum([len(n) for n in names])
     blobs = [squeezed(masks[e - len(n) : e]) for e, n in zip(ends, names, strict=True)]
     return pa.table({"part": sent["part"], "unit": sent["unit"], "answer": pa.array(blobs, pa.binary())})
@@ -327,7 +348,7 @@ def _covered(pieces: Pieces, sent: Sent, masks: np.ndarray) -> np.ndarray:
     item = np.repeat(sent.usual_item, pieces.last[sent.usual] - pieces.begin[sent.usual] + 1)
     bit = (masks[item] >> (at - pieces.begin[piece]).astype(np.uint32)) & np.uint32(1)
     hits = [at[(bit == 1) | (sent.owner[item] < ids[piece])]]
-    hits.append(sent.hot_at[(masks[sent.hot_item] == 1) | (sent.owner[sent.hot_item] < ids[sent.hot_piece])])
+    hits.append(sent.hot_at[(masks[sent.hot_item] & np.uint32(1) == 1) | (sent.owner[sent.hot_item] < ids[sent.hot_piece])])
     change = np.zeros(len(pieces.data) + 1, np.int32)
     for at in hits:
         np.add.at(change, at, 1)
