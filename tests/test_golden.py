@@ -41,7 +41,7 @@ def test_cyclic_month(spark):
     assert (round(row["s"], 3), round(row["c"], 3)) == (-0.208, 0.978)
 
 
-@pytest.mark.parametrize("limits", [{}, {"window_rows": 0, "ranges": 3}])
+@pytest.mark.parametrize("limits", [{}, {"range_rows": 2}])
 def test_quantiles(spark, limits):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "x double")
     assert values(A.quantiles(df, ["x"], [0.5, 0.75, 0.9], **limits), "p50", "p75", "p90") == [(2.5, 3.25, pytest.approx(3.7))]
@@ -132,7 +132,7 @@ def test_z_scores_of_constant_are_null(spark):
     assert values(z_scores(spark.createDataFrame([(1.0,), (1.0,)], "x double"), ["x"]), "z_x") == [None, None]
 
 
-@pytest.mark.parametrize("limits", [{}, {"window_rows": 3, "ranges": 4}])
+@pytest.mark.parametrize("limits", [{}, {"range_rows": 3}])
 def test_running_totals_agree(spark, limits):
     rows = [(f"k{i % 2}", float(i * 37 % 101), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, x double, n int")

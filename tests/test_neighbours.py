@@ -96,7 +96,7 @@ def test_chained_matching_uses_observed_values(spark):
         rows.append((f"r{i}", x if i % 7 else None, 3 * x + 1 if i % 5 else None, "hi" if x > 0 else "lo"))
     rows = [(a, b, c, d if i % 11 else None) for i, (a, b, c, d) in enumerate(rows)]
     df = spark.createDataFrame(rows, "id string, x double, y double, side string")
-    out = {r["id"]: r for r in chained_matching(df, ["id"], ["x", "y", "side"], sweeps=2, seed=3, window_rows=20, ranges=8).collect()}
+    out = {r["id"]: r for r in chained_matching(df, ["id"], ["x", "y", "side"], sweeps=2, seed=3, range_rows=20).collect()}
     assert len(out) == 80
     seen = {c: {r[c] for r in df.collect() if r[c] is not None} for c in ("x", "y", "side")}
     for r in df.collect():

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # Largest lookup table (rows) that is brought to the driver and broadcast. Anything larger
 # is joined by shuffle instead.
 LOOKUP_ROWS = 20_000
+# And its largest size, counted in characters of its printed values.
+LOOKUP_CHARS = 8_000_000
 
 
 def build_session(app: str = "waymark", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,12 +72,12 @@ def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS) -> list[Row] | None:
 def as_lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     """``df`` ready to be joined as a lookup.
 
-    A table whose row count is proven to be within ``limit`` comes back as a broadcast
+    A table whose rows and size are proven to be within the limits comes back as a broadcast
     local table; a larger one comes back unchanged, so that Spark joins it by shuffle and
     adaptive execution can split hot keys.
     """
     rows = bounded_rows(df, limit)
-    if rows is None:
+    if rows is None or sum(len(str(v)) for row in rows for v in row) > LOOKUP_CHARS:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

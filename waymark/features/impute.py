@@ -43,13 +43,11 @@ def nearest_on_line(gaps: DataFrame, donors: DataFrame, ids: Sequence[str], at:
     asked = gaps.select(F.struct(*ids).alias("__ids"), F.col(at).alias("__at"), F.lit(None).cast(kind).alias("__value"), F.lit(1).alias("__gap"))
     nobody = F.lit(None).cast(asked.schema["__ids"].dataType)
     given = donors.select(nobody.alias("__ids"), F.col(at).alias("__at"), F.col(value).alias("__value"), F.lit(0).alias("__gap"))
-    both = given.unionByName(asked)
+    both = given.distinct().unionByName(asked)  # equal donors are one donor
     tie = F.when(F.col("__gap") == 1, F.md5(F.to_json("__ids"))).otherwise(F.lit("")).alias("tie")
     order = F.struct(F.col("__at").alias("at"), F.col("__gap").alias("gap"), F.col("__value").alias("value"), tie)
     base = checkpointed(both.withColumn("__order", order))
-    ranged = ordered_ranges(base, **limits)
-    single = ranged is None
-    ranged = base.withColumn("__range", F.lit(0)) if single else ranged
+    ranged, ranges = ordered_ranges(base, **limits)
     donor = F.when(F.col("__gap") == 0, F.struct(F.col("__at").alias("at"), F.col("__value").alias("value")))
     marked = ranged.withColumn("__donor", donor)
     # Both directions look back from the row: a frame that ends at the partition's end
@@ -59,7 +57,7 @@ def nearest_on_line(gaps: DataFrame, donors: DataFrame, ids: Sequence[str], at:
     down = Window.partitionBy("__range").orderBy(F.desc("__order")).rowsBetween(*so_far)
     nearest_donor = F.last("__donor", ignorenulls=True)
     seen = marked.withColumns({"__low": nearest_donor.over(up), "__high": nearest_donor.over(down)}).where(F.col("__gap") == 1)
-    if not single:
+    if ranges > 1:
         ends = marked.where(F.col("__gap") == 0).groupBy("__range").agg(F.max_by("__donor", "__order").alias("last"), F.min_by("__donor", "__order").alias("first"))
         steps = marked.select("__range").distinct().join(ends, "__range", "left")
         line = Window.orderBy("__range")  # one row per range

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.cluster import LOOKUP_ROWS, as_lookup, bounded_rows
+from waymark.cluster import LOOKUP_ROWS, as_lookup, bounded_rows, scratch_path
 from waymark.features.base import FittedStep, FixedStep, Step
 from waymark.operators.profile import level_counts
 from waymark.operators.windows import top_n_ties
@@ -103,16 +103,22 @@ class _Lumper(Step):
 
     def _fit(self, df: DataFrame) -> FittedLumper:
         columns = self.nominal(df)
-        rows = bounded_rows(self._kept(df, columns).select("column", "level")) if columns else []
-        if rows is None:
-            raise ValueError("too many levels to keep in a fitted step; use lump() with the kept levels as a table")
+        state = {"other": self.values["other"], "null_is_level": self.null_is_level}
+        levels = self._kept(df, columns).select("column", "level") if columns else None
+        rows = bounded_rows(levels) if columns else []
+        if rows is None:  # very many levels stay a table in the shared folder
+            path = scratch_path(df.sparkSession, "kept-levels")
+            levels.write.parquet(path)
+            return FittedLumper(columns=columns, table=path, **state)
         kept = {c: [r["level"] for r in rows if r["column"] == c] for c in columns}
-        return FittedLumper(kept=kept, other=self.values["other"], null_is_level=self.null_is_level)
+        return FittedLumper(kept=kept, **state)
 
 
 class FittedLumper(FittedStep):
     def _transform(self, df: DataFrame) -> DataFrame:
         v = self.values
+        if "table" in v:
+            return lump(df, v["columns"], df.sparkSession.read.parquet(v["table"]), v["other"], v["null_is_level"])
         return df.withColumns({c: lumped(F.col(c), levels, v["other"], v["null_is_level"]) for c, levels in v["kept"].items()})
 
 

@@ -4,8 +4,9 @@ The join follows the pivot scheme of k-nearest-neighbour joins on shared-nothing
 
 1. Equal vectors are collapsed first. A vector keeps its k+1 smallest ids, which is all any
    row can ask of a group of copies, so a large group of copies costs one search.
-2. A bounded number of pivots splits the space into cells. Cell radii and the k smallest
-   pivot distances per cell bound how far the k-th neighbour of a cell's rows can be.
+2. Pivots split the space into cells; their number is a power of the number of candidates.
+   Cell radii and the k smallest pivot distances per cell bound how far the k-th neighbour
+   of a cell's rows can be.
 3. A candidate is sent to every cell it may matter to by the triangle inequality, never
    fewer, so the result is exact.
 4. A cell is cut into tiles of limited size in both directions. A task compares one tile
@@ -30,8 +31,8 @@ from waymark.features.prepare import _level_lists, _moments
 from waymark.features.resample import class_sizes, draws_with_replacement, numbered, repeated
 from waymark.operators.columns import nominal_columns
 
-# Cells grow in number with the square root of the candidates, within these limits.
-FEWEST_PIVOTS, MOST_PIVOTS = 16, 2048
+# Cells grow in number with this power of the candidates, without a ceiling.
+FEWEST_PIVOTS, PIVOT_POWER = 16, 0.4
 TILE_QUERIES = 1024
 TILE_CANDIDATES = 8192
 _SLACK = 1e-9
@@ -102,14 +103,15 @@ def _tile_search(k: int):
             away = _distances(_matrix(left["vector"]), _matrix(right["vector"]))
             ids, keys = right["nid"].to_numpy(), right["nkey"].to_numpy()
             last = min(k, len(ids)) - 1
-            for i, (group, key) in enumerate(zip(left["grp"], left["key"])):
-                near = np.flatnonzero(away[i] <= np.partition(away[i], last)[last])
-                near = sorted(near, key=lambda j: (away[i][j], ids[j]))[:k]
-                parts["grp"] += [group] * len(near)
-                parts["key"] += [key] * len(near)
-                parts["nid"] += [ids[j] for j in near]
-                parts["nkey"] += [keys[j] for j in near]
-                parts["distance"] += [float(away[i][j]) for j in near]
+            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            limit = np.partition(away, last, axis=1)[:, last]
+            row, column = np.nonzero(away <= limit[:, None])
+            order = np.lexsort((rank[column], away[row, column], row))
+            row, column = row[order], column[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column = row[place < k], column[place < k]
+            parts["grp"], parts["key"] = left["grp"].to_numpy()[row], left["key"].to_numpy()[row]
+            parts["nid"], parts["nkey"], parts["distance"] = ids[column], keys[column], away[row, column]
         return pd.DataFrame(parts).astype({"distance": "float64"})
 
     return search
@@ -142,7 +144,7 @@ def nearest(
     wanted = k + 1 if skip_self else k
 
     if pivots is None:
-        pivots = min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(candidates.count())))
+        pivots = max(FEWEST_PIVOTS, round(candidates.count() ** PIVOT_POWER))
 
     copies = Window.partitionBy("grp", "nkey").orderBy("nid")
     kept = offered.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= wanted).drop("r")
@@ -313,8 +315,7 @@ def _drawn(df: DataFrame, label: str, ids: Sequence[str], totals: dict[str, tupl
     known = numbered(df, [label], ids, seed)
     hit = (known[label].cast("string") == picks["stratum"]) & (known["ordinal"] == picks["ordinal"])
     chosen = known.join(picks, hit).drop(picks["ordinal"]).drop("stratum", "ordinal")
-    busiest = max((draws / rows for rows, draws in totals.values()), default=0)
-    return repeated(chosen, "copies", "copy", spread=busiest > 10_000).drop("copies")
+    return repeated(chosen, "copies", "copy").drop("copies")
 
 
 def adasyn(df: DataFrame, label: str, ids: Sequence[str], numeric: Sequence[str], seed: int, k: int = 5) -> DataFrame:
@@ -342,6 +343,6 @@ def adasyn(df: DataFrame, label: str, ids: Sequence[str], numeric: Sequence[str]
     portion = F.when(F.col("total") > 0, F.col("share") / F.col("total")).otherwise(1.0 / F.col("rows"))
     wanted = foreign.join(as_lookup(totals), "own").select(F.col("id").alias("__id"), F.round(portion * missing).cast("bigint").alias("copies"))
     chosen = minority.join(wanted.where("copies > 0"), F.col(key).cast("string") == F.col("__id")).drop("__id")
-    draws = repeated(chosen, "copies", "copy", spread=largest > 10_000).drop("copies")
+    draws = repeated(chosen, "copies", "copy").drop("copies")
     near = nearest(few, few, k, key, within=label)
     return whole.unionByName(_between(minority, draws, label, ids, numeric, near, seed).select(whole.columns))

@@ -25,7 +25,7 @@ from waymark.cluster import as_lookup, bounded_rows
 from waymark.features.base import FittedStep, FixedStep, Step
 from waymark.functions.scalars import cyclic_month
 from waymark.operators.profile import quantiles
-from waymark.operators.reshape import column_name
+from waymark.operators.reshape import column_names
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -167,7 +167,8 @@ class Dummies(Step):
 class FittedDummies(FittedStep):
     def _transform(self, df):
         levels = self.values["levels"]
-        coded = [(F.col(c) == v).cast("double").alias(column_name(c, v)) for c, values in levels.items() for v in values]
+        named = [(c, v, name) for c, values in levels.items() for v, name in zip(values, column_names(c, values), strict=True)]
+        coded = [(F.col(c) == v).cast("double").alias(name) for c, v, name in named]
         return df.select(*[c for c in df.columns if c not in levels], *coded)
 
 

@@ -154,15 +154,14 @@ def draws_with_replacement(totals: Mapping[str, tuple[int, int]], spark, seed: i
 _CHUNK = 10_000
 
 
-def repeated(df: DataFrame, copies: str, out: str = "copy", spread: bool = False, chunk: int = _CHUNK) -> DataFrame:
+def repeated(df: DataFrame, copies: str, out: str = "copy", chunk: int = _CHUNK) -> DataFrame:
     """Repeat rows ``copies`` times, numbered from 1.
 
-    With ``spread`` a row with very many copies is cut into chunks that are moved to
-    different tasks before they are repeated.
+    A row with very many copies is cut into chunks that are moved to different tasks before
+    they are repeated.
     """
     pieces = df.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies).cast("bigint"), F.lit(chunk).cast("bigint"))))
-    if spread:
-        pieces = pieces.repartition(F.col("__from"), *[F.col(c) for c in df.columns])
+    pieces = pieces.repartition(F.col("__from"), *[F.col(c) for c in df.columns])
     last = F.least(F.col("__from") + chunk - 1, F.col(copies))
     return pieces.withColumn(out, F.explode(F.sequence(F.col("__from"), last))).drop("__from")
 
@@ -189,8 +188,7 @@ def up_sample(df: DataFrame, label: str, ids: Sequence[str], seed: int, out: str
     minority = numbered(df.where(F.col(label).cast("string").isin(*small)), [label], ids, seed)
     hit = (minority[label].cast("string") == draws["stratum"]) & (minority["ordinal"] == draws["ordinal"])
     chosen = minority.join(draws, hit).drop(draws["ordinal"]).drop("stratum", "ordinal")
-    busiest = max((largest / n for n in sizes.values()), default=0)
-    added = repeated(chosen, "copies", out, spread=busiest > _CHUNK).drop("copies")
+    added = repeated(chosen, "copies", out).drop("copies")
     return df.withColumn(out, F.lit(0).cast("bigint")).unionByName(added)
 
 

@@ -104,7 +104,7 @@ def extract_or_null(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def strip_prefix(text: Column, prefix: str) -> Column:
-    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, len(prefix) + 1, 1_000_000)).otherwise(text)
+    return F.when(F.startswith(text, F.lit(prefix)), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)
 
 
 def without(value: Column, members: list) -> Column:

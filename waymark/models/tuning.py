@@ -78,9 +78,9 @@ def evaluate_grid(
 ) -> DataFrame:
     """Fit and score every configuration on every fold of a table that carries its fold.
 
-    Gives ``(config, settings, fold, metric, value)``. The table is written to the
+    Gives ``(config, settings, fold, metric, value, error)``. The table is written to the
     checkpoint folder once, since every fit reads it again. A fit that fails is recorded
-    with the metric ``failed`` and the run goes on.
+    with the metric ``failed`` and its whole error text, and the run goes on.
     """
     ready = checkpointed(folded)
     jobs = [(i, settings, k) for k in range(folds) for i, settings in enumerate(grid)]
@@ -88,15 +88,16 @@ def evaluate_grid(
     def run(job):
         i, settings, k = job
         train, test = fold_pair(ready, k, column)
+        name, error = str(sorted(settings.items())), None
         try:
             values = score(fit(settings, train), test)
-        except Exception:  # a poor setting must not end the whole run
-            values = {"failed": 1.0}
-        return [(i, str(sorted(settings.items())), k, m, float(v)) for m, v in values.items()]
+        except Exception as problem:  # a poor setting must not end the whole run
+            values, error = {"failed": 1.0}, f"{type(problem).__name__}: {problem}"
+        return [(i, name, k, m, float(v), error) for m, v in values.items()]
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = [row for part in pool.map(run, jobs) for row in part]
-    return folded.sparkSession.createDataFrame(rows, "config int, settings string, fold int, metric string, value double")
+    return folded.sparkSession.createDataFrame(rows, "config int, settings string, fold int, metric string, value double, error string")
 
 
 def fold_pair(df: DataFrame, k: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -111,7 +112,7 @@ def evaluate_specs(spark: SparkSession, specs: Mapping[str, Callable[[], Mapping
         try:
             rows += [(name, metric, float(value), None) for metric, value in run().items()]
         except Exception as error:  # one broken combination must not end the sweep
-            rows.append((name, "failed", None, f"{type(error).__name__}: {error}"[:200]))
+            rows.append((name, "failed", None, f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(rows, "spec string, metric string, value double, error string")
 
 

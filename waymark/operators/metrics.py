@@ -214,16 +214,19 @@ def classify_at(score: Column, threshold: float = 0.5) -> Column:
 def threshold_sweep(df: DataFrame, score: str, positive: Column, step: float = 0.0005) -> DataFrame:
     """Measures at every threshold from 0 to 1, predicting at or above the threshold.
 
-    Each score is counted at the highest threshold it still reaches; the rest is a running
-    sum over the fixed number of thresholds.
+    Each score is counted at the highest threshold it still reaches (-1: none); the rest is a
+    running sum over the fixed number of thresholds.
     """
     steps = round(1 / step)
-    slot = F.least(F.floor(F.round(F.col(score) * steps, 6)), F.lit(steps))
+    near = F.greatest(F.lit(-1.0), F.least(F.floor(F.col(score) * steps).cast("double"), F.lit(float(steps))))
+    # The product may be off by one rounding; the thresholds themselves decide.
+    slot = near + (((near + 1) / steps <= F.col(score)) & (near < steps)).cast("int") - (near / steps > F.col(score)).cast("int")
+    slot = F.greatest(slot, F.lit(-1.0))
     counted = df.where(F.col(score).isNotNull()).groupBy(slot.cast("int").alias("i")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("i"))
-    filled = grid.join(F.broadcast(counted), "i", "left").fillna(0, ["pos", "neg"])  # at most steps + 1 rows
+    grid = df.sparkSession.range(-1, steps + 1).select(F.col("id").cast("int").alias("i"))
+    filled = grid.join(F.broadcast(counted), "i", "left").fillna(0, ["pos", "neg"])  # at most steps + 2 rows
     down = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = filled.select(
@@ -231,7 +234,7 @@ def threshold_sweep(df: DataFrame, score: str, positive: Column, step: float = 0
     )
     sensitivity = F.try_divide(F.col("tp"), F.col("p"))
     specificity = 1 - F.try_divide(F.col("fp"), F.col("n"))
-    return sums.select((F.col("i") / steps).alias("threshold"), sensitivity.alias("sensitivity"), specificity.alias("specificity")).withColumns(
+    return sums.where("i >= 0").select((F.col("i") / steps).alias("threshold"), sensitivity.alias("sensitivity"), specificity.alias("specificity")).withColumns(
         {
             "j_index": F.col("sensitivity") + F.col("specificity") - 1,
             "distance": F.pow(1 - F.col("sensitivity"), 2) + F.pow(1 - F.col("specificity"), 2),

@@ -8,28 +8,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.cluster import LOOKUP_ROWS, bounded_rows
 from waymark.operators.columns import numeric_columns
 
 
-def column_name(prefix: str, value: str) -> str:
-    """A plain column name from a data value."""
-    return f"{prefix}_{re.sub(r'[^0-9A-Za-z]+', '_', value).strip('_')}"
+def column_name(prefix: str, value: str | None) -> str:
+    """A plain column name from a data value; a missing value is named ``NA``."""
+    return f"{prefix}_{re.sub(r'[^0-9A-Za-z]+', '_', 'NA' if value is None else value).strip('_')}"
 
 
-def key_values(df: DataFrame, *keys: str) -> dict[str, list[str]]:
-    """Distinct values of pivot keys, read in one pass; missing values are listed as ``NA``."""
-    cells = [F.coalesce(F.col(k).cast("string"), F.lit("NA")).alias(k) for k in keys]
-    rows = bounded_rows(df.select(*cells).unpivot([], list(keys), "key", "value").distinct())
-    if rows is None:
-        raise ValueError(f"more than {LOOKUP_ROWS} distinct values of {', '.join(keys)}")
-    return {k: sorted(r["value"] for r in rows if r["key"] == k) for k in keys}
+def column_names(prefix: str, values: Sequence[str | None]) -> list[str]:
+    """One name per value. Values with the same plain name are told apart by a number, in the
+    order given, whatever the case of their letters."""
+    used: set[str] = set()
+    names = []
+    for value in values:
+        plain = name = column_name(prefix, value)
+        number = 1
+        while name.lower() in used:
+            number += 1
+            name = f"{plain}_{number}"
+        used.add(name.lower())
+        names.append(name)
+    return names
 
 
-def count_columns(key: str, values: Sequence[str]) -> list[Column]:
+def key_values(df: DataFrame, *keys: str) -> dict[str, list[str | None]]:
+    """Distinct values of pivot keys, read in one pass; a missing value comes first."""
+    cells = df.select(*[F.col(k).cast("string").alias(k) for k in keys])
+    rows = cells.unpivot([], list(keys), "key", "value").distinct().collect()  # they become columns
+    values = lambda k: [r["value"] for r in rows if r["key"] == k]
+    return {k: sorted(values(k), key=lambda v: (v is not None, v or "")) for k in keys}
+
+
+def count_columns(key: str, values: Sequence[str | None]) -> list[Column]:
     """One conditional count per key value, to be used inside a single aggregate."""
-    cell = F.coalesce(F.col(key).cast("string"), F.lit("NA"))
-    return [F.count_if(cell == v).alias(column_name(key, v)) for v in values]
+    cell = F.col(key).cast("string")
+    named = zip(values, column_names(key, values), strict=True)
+    return [F.count_if(cell.eqNullSafe(F.lit(v).cast("string"))).alias(name) for v, name in named]
 
 
 def spread_counts(df: DataFrame, id_column: str, key: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -56,7 +71,6 @@ def widen(
     """Long to wide. Columns are ``<prefix or measure>_<value>``."""
     cells = []
     for measure in measures:
-        for value in values:
-            name = column_name(prefix if prefix else measure, value)
+        for value, name in zip(values, column_names(prefix if prefix else measure, values), strict=True):
             cells.append(F.first(F.when(F.col(key) == value, F.col(measure)), ignorenulls=True).alias(name))
     return df.groupBy(*ids).agg(*cells)

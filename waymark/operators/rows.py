@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.cluster import LOOKUP_ROWS, as_lookup, bounded_rows
+from waymark.cluster import as_lookup, checkpointed
 
 
 def overwrite_where(df: DataFrame, column: str, condition: Column, value) -> DataFrame:
@@ -50,24 +51,23 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     return left.join(right, shared, how)
 
 
+# Rows of a grid that one task makes.
+GRID_ROWS = 100_000
+
+
 def level_grid(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every combination of the distinct values of the columns.
 
-    Each column's values are read once; the combinations are then generated from value
-    lists held in the plan, not by joining tables.
+    The values are read once, as one row with an array per column. The first column's values
+    are spread over as many tasks as the grid's size asks for before the others are added.
     """
-    out = None
-    for name in columns:
-        rows = bounded_rows(df.select(name).where(F.col(name).isNotNull()).distinct())
-        if rows is None:
-            raise ValueError(f"{name} has more than {LOOKUP_ROWS} distinct values")
-        values = sorted(r[0] for r in rows)
-        level = F.explode(F.lit(values).cast(f"array<{df.schema[name].dataType.simpleString()}>")).alias(name)
-        if out is None:
-            out = df.sparkSession.range(1).select(level)
-        else:
-            out = out.select("*", level)
-    return out
+    levels = checkpointed(df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]))  # leaves missing values out
+    tasks = max(1, math.ceil(math.prod(levels.select(*[F.size(c) for c in columns]).first()) / GRID_ROWS))
+    out = levels.withColumn(columns[0], F.explode(columns[0]))
+    out = out.repartition(tasks) if tasks > 1 else out
+    for name in columns[1:]:
+        out = out.select(*[c for c in columns if c != name], F.explode(name).alias(name))
+    return out.select(*columns)
 
 
 def lookup_replace(df: DataFrame, column: str, mapping: DataFrame | Mapping[str, str], old: str = "old", new: str = "new") -> DataFrame:

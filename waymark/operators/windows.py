@@ -13,12 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.cluster import as_lookup, checkpointed, null_safe_join
+from waymark.cluster import checkpointed, null_safe_join
 
-# A group order is computed by one window when the whole table is proven to be this small.
-WINDOW_ROWS = 1_000_000
-RANGES = 256
-_STEP = 16
+# Rows of one range of a long order; the number of ranges grows with the table.
+RANGE_ROWS = 250_000
 
 
 def share_of_total(df: DataFrame, count: str = "n", out: str = "pcnt", scale: float = 100.0) -> DataFrame:
@@ -33,38 +31,14 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str = "pcn
     return null_safe_join(df, totals, list(keys)).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
 
 
-def _range_bounds(df: DataFrame, total: int, ranges: int) -> list:
-    """Sorted cut points of the struct column ``__order``, from a bounded sample."""
-    wanted = ranges * 20
-    rows = df.select("__order").sample(min(1.0, 1.2 * wanted / total), seed=17).limit(2 * wanted).orderBy("__order").collect()
-    values = [r[0] for r in rows]
-    step = max(1, len(values) // ranges)
-    cuts = []
-    for row in values[step::step]:
-        if not cuts or row != cuts[-1]:
-            cuts.append(row)
-    return cuts[: ranges - 1]
-
-
-def _range_index(cuts: list, order_type) -> Column:
-    """Number of cut points at or below ``__order``: a coarse and a fine search."""
-    if not cuts:
-        return F.lit(0)
-    literal = lambda row: F.struct(*[F.lit(v).alias(f.name) for v, f in zip(row, order_type)])
-    as_array = lambda rows: F.array(*[literal(r) for r in rows]).cast(f"array<{order_type.simpleString()}>")
-    order = F.col("__order")
-    coarse = F.size(F.filter(as_array(cuts[_STEP - 1 :: _STEP]), lambda cut: cut <= order)) if len(cuts) >= _STEP else F.lit(0)
-    fine = F.slice(as_array(cuts), coarse * _STEP + 1, _STEP - 1)
-    return coarse * _STEP + F.size(F.filter(fine, lambda cut: cut <= order))
-
-
-def ordered_ranges(base: DataFrame, window_rows: int = WINDOW_ROWS, ranges: int = RANGES) -> DataFrame | None:
-    """``base`` with ``__range``, the index of its value range in the order ``__order``, or
-    ``None`` if the table is small enough for one window. Ranges hold similar row counts."""
-    total = base.count()
-    if total <= window_rows:
-        return None
-    return base.withColumn("__range", _range_index(_range_bounds(base, total, ranges), base.schema["__order"].dataType))
+def ordered_ranges(base: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """``base`` with ``__range``, the index of its value range in the order ``__order``, and
+    the number of ranges. Spark cuts the ranges from a sample, so they hold similar row counts;
+    the result is written once, because another sample would cut elsewhere."""
+    ranges = max(1, -(-base.count() // range_rows))
+    if ranges == 1:
+        return base.withColumn("__range", F.lit(0)), 1
+    return checkpointed(base.repartitionByRange(ranges, "__order").withColumn("__range", F.spark_partition_id())), ranges
 
 
 def running_totals(
@@ -72,37 +46,32 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     sums: Mapping[str, Column],
-    window_rows: int = WINDOW_ROWS,
-    ranges: int = RANGES,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add running sums in a total order, per key.
 
     ``order`` lists expressions compared ascending (negate a number to go down) that
     together make the order total. Pass a table already grouped by its order values.
 
-    A table proven small is handled by one window. A larger one is cut into value ranges
-    from a bounded sample: the window runs inside each range, range totals are summed once
-    more, and the two are added. No task sees more than one range of one key.
+    The table is cut into value ranges: the window runs inside each range, range totals are
+    summed once more, and the two are added. No task sees more than one range of one key.
     """
     base = checkpointed(
         df.withColumns({"__order": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), **{f"__{k}": v for k, v in sums.items()}})
     )
-    ranged = ordered_ranges(base, window_rows, ranges)
-    rows = (Window.unboundedPreceding, Window.currentRow)
-    if ranged is None:
-        window = Window.partitionBy(*keys).orderBy("__order").rowsBetween(*rows)
-        out = base.withColumns({k: F.sum(f"__{k}").over(window) for k in sums})
-        return out.drop("__order", *[f"__{k}" for k in sums])
-
+    ranged, ranges = ordered_ranges(base, range_rows)
     slot = [*keys, "__range"]
+    inside = Window.partitionBy(*slot).orderBy("__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({k: F.sum(f"__{k}").over(inside) for k in sums})
+    if ranges == 1:  # nothing lies before the only range
+        return local.drop("__order", "__range", *[f"__{k}" for k in sums])
+
     totals = ranged.groupBy(*slot).agg(*[F.sum(f"__{k}").alias(f"__sum_{k}") for k in sums])
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(slot)],
         *[F.sum(f"__sum_{k}").over(before).alias(f"__before_{k}") for k in sums],
     )
-    inside = Window.partitionBy(*slot).orderBy("__order").rowsBetween(*rows)
-    local = ranged.withColumns({k: F.sum(f"__{k}").over(inside) for k in sums})
     match = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slot)]
     joined = local.join(offsets, match, "left")
     zero = {k: F.coalesce(F.col(f"__before_{k}"), F.lit(0)) for k in sums}
@@ -131,8 +100,8 @@ def top_n_ties(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> DataF
 def top_n_ties_hot(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> DataFrame:
     """``top_n_ties`` for groups in which very many rows may tie.
 
-    The n-th largest weight of each group is found first, and the rows are matched against
-    it. The rows stay where they are unless there are more groups than a lookup may hold.
+    The n-th largest weight of each group is found first, with the rank limit applied before
+    the shuffle, and the rows are matched against it. Spark's statistics decide how.
     """
     window = Window.partitionBy(*keys).orderBy(F.desc(weight))
     narrow = df.select(*keys, weight).where(F.col(weight).isNotNull())
@@ -142,7 +111,7 @@ def top_n_ties_hot(df: DataFrame, keys: Sequence[str], weight: str, n: int) -> D
         .groupBy(*keys)
         .agg(F.min(weight).alias("__floor"))
     )
-    return null_safe_join(df, as_lookup(floor), list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
+    return null_safe_join(df, floor, list(keys)).where(F.col(weight) >= F.col("__floor")).drop("__floor")
 
 
 def top_levels(counts: DataFrame, count: str, n: int) -> DataFrame:

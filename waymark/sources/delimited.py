@@ -65,9 +65,10 @@ AGE_BUCKET_COLUMNS = {
 
 
 def lenient_number(column: Column) -> Column:
-    """First number in a text, ignoring grouping marks and surrounding text."""
-    digits = F.regexp_extract(column, r"-?[0-9][0-9,]*\.?[0-9]*", 0)
-    return F.nullif(F.regexp_replace(digits, ",", ""), F.lit("")).try_cast("double")
+    """First number in a text, ignoring grouping marks and surrounding text. The whole part
+    may be missing (``.5``)."""
+    digits = F.regexp_extract(F.translate(column, ",", ""), r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
+    return F.nullif(digits, F.lit("")).try_cast("double")
 
 
 def date_by_pattern(column: Column, pattern: str = "yyyy-MM-dd") -> Column:
@@ -99,9 +100,13 @@ def read_declared(
     path: str | list[str],
     columns: dict[str, str],
     tokens: Sequence[str] = NULL_TOKENS,
+    line_breaks: bool = False,
 ) -> DataFrame:
     """Scan a CSV with declared columns; see ``_TYPED`` for the column kinds.
 
+    Quotes inside a quoted cell are doubled. Cells with line breaks need ``line_breaks``, which
+    reads each file in one task.
+
     An unquoted empty cell is null. A quoted empty cell stays an empty text because
     ``nullValue`` is set to a token; id columns keep empty cells as empty texts.
     """
@@ -110,6 +115,8 @@ def read_declared(
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
+        .option("escape", '"')
+        .option("multiLine", line_breaks)
         .option("nullValue", tokens[0] if tokens else "null")
         .csv(path)
     )
@@ -119,12 +126,12 @@ def read_declared(
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
     """Scan a small CSV letting Spark infer its types (an extra pass over the file)."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(path)
 
 
 def write_delimited(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """Write a folder of CSV parts, one per partition."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
+    """Write a folder of CSV parts, one per partition; quotes inside a cell are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", quote_all).csv(path)
 
 
 def tagged(df: DataFrame, name: str, column: str = "dataset") -> DataFrame:

@@ -79,14 +79,22 @@ def m9(spark, folder):
     return M.Dummies(["signup_method"], full="all").fit(u).transform(u)
 
 
-@query("M9_sparse_one_hot", sql("SELECT id, CAST(2 AS BIGINT) AS set_cells FROM users", USERS))
+def _place_sql(column: str) -> str:
+    """Place of a row's level among all levels, by falling count, then by name."""
+    ranks = f"SELECT {column}, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS r FROM users GROUP BY 1"
+    return f"(SELECT r FROM ({ranks}) AS p WHERE p.{column} = users.{column})"
+
+
+@query("M9_sparse_one_hot", sql(f"SELECT id, {_place_sql('signup_method')} AS method_cell, {_place_sql('gender')} AS gender_cell, CAST(2 AS BIGINT) AS set_cells FROM users", USERS))
 def m9_sparse(spark, folder):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     u = users(spark, folder).select("id", "signup_method", "gender")
     out = Pipeline(stages=M.sparse_one_hot(["signup_method", "gender"])).fit(u).transform(u)
-    return out.select("id", F.aggregate(vector_to_array("one_hot"), F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("set_cells"))
+    cell = lambda c: (F.array_position(vector_to_array(c), F.lit(1.0)) - 1).cast("bigint")
+    total = F.aggregate(vector_to_array("one_hot"), F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    return out.select("id", cell("signup_method_hot").alias("method_cell"), cell("gender_hot").alias("gender_cell"), total.alias("set_cells"))
 
 
 @query("M10_design_matrix", sql("SELECT id, " + _dummy_sql({"signup_method": _METHODS, "gender": ["FEMALE", "MALE", "OTHER"]}) + " FROM users", USERS))
@@ -211,17 +219,17 @@ def b5(spark, folder):
 @query(
     "B6_up_sample",
     sql(
-        f"""SELECT id, gender, CAST(0 AS BIGINT) AS copy FROM uneven
-UNION ALL SELECT id, gender, row_number() OVER (PARTITION BY id ORDER BY j) FROM (
-  SELECT s.gender, j, CAST('0x' || substr(md5(s.gender || ':' || CAST(j AS VARCHAR) || ':{SEED}'), 1, 15) AS BIGINT) % s.n + 1 AS pick
+        f"""SELECT id, country_destination AS label, CAST(0 AS BIGINT) AS copy FROM users
+UNION ALL SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY j) FROM (
+  SELECT s.label, j, CAST('0x' || substr(md5(s.label || ':' || CAST(j AS VARCHAR) || ':{SEED}'), 1, 15) AS BIGINT) % s.n + 1 AS pick
   FROM sizes AS s JOIN (SELECT unnest(range(0, (SELECT max(n) FROM sizes))) AS j) AS d ON j < (SELECT max(n) FROM sizes) - s.n) AS drawn
-JOIN (SELECT id, gender, row_number() OVER (PARTITION BY gender ORDER BY {_h('id')}) AS r FROM uneven) AS o USING (gender) WHERE r = pick""",
-        USERS, "uneven AS (SELECT id, gender FROM users WHERE gender <> 'MALE' OR CAST(id AS BIGINT) % 8 = 1)", "sizes AS (SELECT gender, count(*) AS n FROM uneven GROUP BY 1)",
+JOIN (SELECT id, country_destination AS label, row_number() OVER (PARTITION BY country_destination ORDER BY {_h('id')}) AS r FROM users) AS o USING (label) WHERE r = pick""",
+        USERS, "sizes AS (SELECT country_destination AS label, count(*) AS n FROM users GROUP BY 1)",
     ),
 )
 def b6(spark, folder):
-    u = users(spark, folder).select("id", "gender").where("gender <> 'MALE' OR cast(id AS bigint) % 8 = 1")
-    return B.up_sample(u, "gender", ["id"], SEED)
+    u = users(spark, folder).select("id", F.col("country_destination").alias("label"))
+    return B.up_sample(u, "label", ["id"], SEED)
 
 
 @query(
@@ -285,7 +293,7 @@ def m5_line(spark, folder):
 
     c = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("at"), F.col("c_acctbal").alias("value"))
     # Small limits force the ranged order, so that donors are carried between ranges.
-    return nearest_on_line(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0"), ["c_custkey"], "at", "value", window_rows=50, ranges=16)
+    return nearest_on_line(c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0"), ["c_custkey"], "at", "value", range_rows=50)
 
 
 def growing_table(spark, folder):

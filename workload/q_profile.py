@@ -107,7 +107,7 @@ def a12(spark, folder):
 @query("A12_profile_ranged", _summary("o_totalprice", "orders"))
 def a12_ranged(spark, folder):
     # A low limit takes the path for columns too long for one window.
-    return A.column_summary(table(spark, folder, "orders"), ["o_totalprice"], window_rows=1000, ranges=64)
+    return A.column_summary(table(spark, folder, "orders"), ["o_totalprice"], range_rows=1000)
 
 
 @query(

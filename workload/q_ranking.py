@@ -246,7 +246,7 @@ def e13(spark, folder):
 )
 def e13_many(spark, folder):
     long = E.one_vs_rest(predictions(spark, folder), "prob", "truth", CLASSES)
-    return E.roc_points(long, "score", F.col("positive"), ["class"], window_rows=500, ranges=32)
+    return E.roc_points(long, "score", F.col("positive"), ["class"], range_rows=500)
 
 
 _AUC = "SELECT {keys} round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) / count(*), 6) AS roc_auc FROM {source}"
@@ -278,11 +278,10 @@ def e15(spark, folder):
 
 
 _SWEEP = """steps AS (SELECT CAST(i AS DOUBLE) / 2000 AS threshold, i FROM (SELECT unnest(range(0, 2001)) AS i) AS g),
-slots AS (SELECT floor(round(score * 2000, 6)) AS slot, booked FROM scores),
 sweep AS (
-  SELECT threshold, count(CASE WHEN booked AND slot >= i THEN 1 END) / count(CASE WHEN booked THEN 1 END) AS sensitivity,
-    1 - count(CASE WHEN NOT booked AND slot >= i THEN 1 END) / count(CASE WHEN NOT booked THEN 1 END) AS specificity
-  FROM steps CROSS JOIN slots GROUP BY threshold),
+  SELECT threshold, count(CASE WHEN booked AND score >= threshold THEN 1 END) / count(CASE WHEN booked THEN 1 END) AS sensitivity,
+    1 - count(CASE WHEN NOT booked AND score >= threshold THEN 1 END) / count(CASE WHEN NOT booked THEN 1 END) AS specificity
+  FROM steps CROSS JOIN scores WHERE score IS NOT NULL GROUP BY threshold),
 measured AS (
   SELECT round(threshold, 6) AS threshold, round(sensitivity, 6) AS sensitivity, round(specificity, 6) + 0.0 AS specificity,
     sensitivity + specificity - 1 AS j, (1 - sensitivity) * (1 - sensitivity) + (1 - specificity) * (1 - specificity) AS d FROM sweep)"""

@@ -75,7 +75,7 @@ def s4(spark, folder):
 
 @query(
     "S5_lenient_number",
-    "SELECT o_orderkey, round(o_totalprice, 6) AS amount, CAST(o_orderkey % 100 AS DOUBLE) * 1000.0 AS grouped, CAST(NULL AS DOUBLE) AS none FROM orders",
+    "SELECT o_orderkey, round(o_totalprice, 6) AS amount, CAST(o_orderkey % 100 AS DOUBLE) * 1000.0 AS grouped, CAST(NULL AS DOUBLE) AS none, CAST(-(10 + o_orderkey % 90) AS DOUBLE) / 100 AS part FROM orders",
 )
 def s5(spark, folder):
     cell = F.concat(F.lit("EUR "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" net"))
@@ -85,6 +85,7 @@ def s5(spark, folder):
         D.lenient_number(cell).alias("amount"),
         D.lenient_number(grouped).alias("grouped"),
         D.lenient_number(F.col("o_orderpriority").substr(3, 20)).alias("none"),
+        D.lenient_number(F.concat(F.lit("about -."), (F.col("o_orderkey") % 90 + 10).cast("string"))).alias("part"),
     )
 
 
@@ -210,8 +211,13 @@ def p12(spark, folder):
     return C.extract_dataset(u, "test")
 
 
-@query("P13_pull_column", "SELECT round(max(o_totalprice), 6) AS top FROM orders")
+@query("P13_pull_column", "SELECT round(o_totalprice, 6) AS o_totalprice FROM orders")
 def p13(spark, folder):
+    return table(spark, folder, "orders").select("o_totalprice")
+
+
+@query("P13_pull_value", "SELECT round(max(o_totalprice), 6) AS top FROM orders")
+def p13_value(spark, folder):
     return table(spark, folder, "orders").select("o_totalprice").agg(F.max("o_totalprice").alias("top"))
 
 
@@ -337,10 +343,10 @@ def u2(spark, folder):
     return A.counts(N.stack_tagged({"train": c.where("c_custkey % 5 <> 0"), "test": c.where("c_custkey % 5 = 0")}), "data_set")
 
 
-@query("U3_split_by_column", sql("SELECT id, country_destination FROM users WHERE dataset = 'train'", USERS))
+@query("U3_split_by_column", sql("SELECT dataset AS part, id, country_destination FROM users", USERS))
 def u3(spark, folder):
     parts = N.split_by(users(spark, folder).select("id", "country_destination", "dataset"), "dataset", ["train", "test"])
-    return parts["train"]
+    return N.stack_tagged(parts, "part")
 
 
 @query("U4_distinct", "SELECT DISTINCT p_brand, p_type FROM part")
