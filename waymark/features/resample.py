@@ -198,7 +198,8 @@ def bootstrap(df: DataFrame, ids: Sequence[str], times: int = 25, seed: int = 1,
     Weight 0 marks the out-of-bag rows of a replicate.
     """
     each = df.withColumn(replicate, F.explode(F.sequence(F.lit(1), F.lit(times))))
-    u = seeded_uniform([*ids, replicate], seed)
+    # The top 60 bits of a text hash, so that other engines draw the same numbers.
+    u = F.conv(F.substring(seeded_hash([*ids, replicate], seed), 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
     # Cumulative Poisson(1) probabilities e^-1 (1 + 1 + 1/2 + 1/6 + ...).
     edges, term, total = [], 0.36787944117144233, 0.0
     for k in range(16):

@@ -211,7 +211,25 @@ def b4(spark, folder):
     return B.stratified_folds(u, ["country_destination"], ["id"], 10, SEED).select("id", "fold")
 
 
-@query("B5_bootstrap")
+def _edges() -> list[float]:
+    """Cumulative Poisson(1) probabilities."""
+    term, total, out = 0.36787944117144233, 0.0, []
+    for k in range(16):
+        term = term if k == 0 else term / k
+        total += term
+        out.append(total)
+    return out
+
+
+@query(
+    "B5_bootstrap",
+    sql(
+        "SELECT id, round(age, 6) AS age, replicate, " + " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END::BIGINT" for e in _edges()) + " AS weight FROM drawn",
+        USERS,
+        f"""drawn AS (SELECT id, age, replicate, CAST(CAST('0x' || substr(md5(id || ':' || CAST(replicate AS VARCHAR) || ':{SEED}'), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976.0 AS u
+  FROM users, (SELECT unnest(range(1, 26)) AS replicate) AS g)""",
+    ),
+)
 def b5(spark, folder):
     return B.bootstrap(users(spark, folder).select("id", "age"), ["id"], 25, SEED)
 

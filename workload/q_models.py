@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.cluster import scratch_path
+from waymark.cluster import checkpointed, scratch_path
 from waymark.features import prepare as M
 from waymark.features import resample as B
 from waymark.models import classify as L
@@ -37,7 +37,8 @@ def model_table(spark, folder):
 def prepared(spark, folder, label=REGION_LABEL, name="semi_minimal"):
     data = model_table(spark, folder).drop("booked" if label != "booked" else REGION_LABEL)
     done = recipe(name, label=label, drop=()).fit(data)
-    return M.assembled(done.train, ["id"], label)
+    # Written once: fits and scores read it many times.
+    return checkpointed(M.assembled(done.train, ["id"], label))
 
 
 def scores(fitted, frame, label):

@@ -193,7 +193,20 @@ def a22(spark, folder):
     return A.log_histogram(table(spark, folder, "events"), "value", 0.25, by=["event_type"])
 
 
-@query("A23_kernel_density")
+_DENSITY = """SELECT round(lo + i * step, 6) AS x, round(sum(c.n * exp(-pow((lo + i * step - mid) / width, 2) / 2) / sqrt(2 * pi())) / (any_value(total) * any_value(width)), 6) AS density
+FROM grid, cells AS c GROUP BY i, lo, step"""
+
+
+@query(
+    "A23_kernel_density",
+    sql(
+        _DENSITY,
+        "stats AS (SELECT count(value) AS n, min(value) AS low, max(value) AS high, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events)",
+        "widths AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS width FROM stats)",
+        "grid AS (SELECT i, n AS total, width, low - 3 * width AS lo, ((high + 3 * width) - (low - 3 * width)) / 511 AS step FROM widths, (SELECT unnest(range(0, 512)) AS i))",
+        "cells AS (SELECT least(floor((value - low) / ((high - low) / 2048)), 2047) AS slot, count(*) AS n, avg(value) AS mid FROM events, stats WHERE value IS NOT NULL GROUP BY 1)",
+    ),
+)
 def a23(spark, folder):
     return A.kernel_density(table(spark, folder, "events"), "value")
 
