@@ -1,10 +1,12 @@
 """Cases beside the provided tables: long texts, clashing names, odd cells, large grids."""
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from waymark.features.impute import nearest_on_line
 from waymark.features.levels import TopLevels
+from waymark.features.neighbours import NeighbourImpute
 from waymark.features.prepare import Dummies
 from waymark.functions.scalars import strip_prefix
 from waymark.models.tuning import evaluate_grid, evaluate_specs
@@ -13,6 +15,7 @@ from waymark.operators.reshape import column_names, spread_counts, widen
 from waymark.operators.rows import level_grid
 from waymark.operators.windows import ordered_ranges, running_totals, top_n_ties, top_n_ties_hot
 from waymark.sources.delimited import lenient_number, read_declared, write_delimited
+from waymark.sources.snapshots import load_pipeline, save_pipeline
 
 ODD_LEVELS = ["a-b", "a b", "-unknown-", "unknown", "NA", None, "é", "ü", "A_B"]
 
@@ -112,3 +115,14 @@ def test_whole_error_texts(spark):
     assert evaluate_specs(spark, {"bad": broken}).first()["error"] == f"ValueError: {text}"
     df = spark.range(4).withColumn("fold", (F.col("id") % 2).cast("int"))
     assert {r.error for r in evaluate_grid(df, 2, [{"k": 1}], broken, broken).collect()} == {f"ValueError: {text}"}
+
+
+def test_neighbours_fill_new_gaps_and_are_saved(spark, tmp_path):
+    rows = [(i, "a", float(i), 10.0 * i) for i in range(30)]
+    train = spark.createDataFrame(rows, "id int, part string, x double, y double")
+    fitted = NeighbourImpute(k=3, ids=("id", "part"), label="none").fit(train)
+    gaps = spark.createDataFrame([(100, "a", 5.0, None), (100, "b", None, 200.0), (101, "a", 1.0, 10.0)], train.schema)
+    save_pipeline(PipelineModel([fitted]), str(tmp_path / "model"))
+    for model in (fitted, load_pipeline(str(tmp_path / "model"))):
+        found = {(r.id, r.part): (r.x, r.y) for r in model.transform(gaps).collect()}
+        assert found == {(100, "a"): (5.0, 50.0), (100, "b"): (20.0, 200.0), (101, "a"): (1.0, 10.0)}

@@ -22,7 +22,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.cluster import LOOKUP_ROWS, as_lookup, bounded_rows, checkpointed, seeded_hash, seeded_integer, seeded_uniform
@@ -225,8 +226,8 @@ def distance_vectors(df: DataFrame, ids: Sequence[str], numeric: Sequence[str],
 class NeighbourImpute(Step):
     """Fill numeric gaps with the mean of the k nearest training rows that have a value.
 
-    Distances use all other predictors. The fitted step holds its donors as a table, so it
-    is used within a session and not written with a pipeline.
+    Every numeric predictor is filled where it has gaps, also one that had none at fit time.
+    Distances use all other predictors. The donors are saved with a pipeline as a table.
     """
 
     def __init__(self, columns=None, k=5, **roles):
@@ -236,11 +237,22 @@ class NeighbourImpute(Step):
         roles = self.roles
         numeric = roles.numeric(df)
         targets = self.values["columns"] if self.values["columns"] is not None else numeric
-        counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first() if numeric else {}
         return FittedNeighbourImpute(
-            df, targets=[c for c in targets if counted[c]] if self.values["columns"] is None else list(targets), numeric=numeric,
-            nominal=nominal_columns(df, roles.reserved), ids=list(roles.ids), k=self.values["k"],
-        )
+            df, targets=list(targets), numeric=numeric, nominal=nominal_columns(df, roles.reserved), ids=list(roles.ids), k=self.values["k"]
+        )
+
+
+class _DonorWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:  # noqa: N802 (the name is Spark's)
+        super().saveImpl(path)
+        self.instance.donors.write.parquet(f"{path}/donors")
+
+
+class _DonorReader(DefaultParamsReader):
+    def load(self, path: str):
+        loaded = super().load(path)
+        loaded.donors = SparkSession.active().read.parquet(f"{path}/donors")
+        return loaded
 
 
 class FittedNeighbourImpute(FittedStep):
@@ -249,23 +261,29 @@ class FittedNeighbourImpute(FittedStep):
         self.donors = donors
 
     def write(self):
-        raise NotImplementedError("the donor table is not part of a saved pipeline")
+        return _DonorWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _DonorReader(cls)
 
     def _transform(self, df):
         v = self.values
-        if len(v["ids"]) != 1:
-            raise ValueError("neighbour imputation needs one id column")
-        key = v["ids"][0]
-        out = df
+        one = F.col(v["ids"][0]).cast("string") if len(v["ids"]) == 1 else F.to_json(F.struct(*v["ids"]))
+        out, donors = df.withColumn("__key", one), self.donors.withColumn("__key", one)
+        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in v["targets"]]).first() if v["targets"] else {}
+        keyed = out
         for target in v["targets"]:
+            if not missing[target]:
+                continue
             others = [c for c in v["numeric"] if c != target]
-            known = self.donors.where(F.col(target).isNotNull())
-            donor_vectors, fitted = distance_vectors(known, [key], others, v["nominal"])
-            gaps, _ = distance_vectors(df.where(F.col(target).isNull()), [key], others, v["nominal"], fitted)
-            near = nearest(gaps, donor_vectors, v["k"], key, skip_self=False)
-            values = known.select(F.col(key).cast("string").alias("neighbour"), F.col(target).cast("double").alias("__value"))
+            known = donors.where(F.col(target).isNotNull())
+            donor_vectors, fitted = distance_vectors(known, ["__key"], others, v["nominal"])
+            gaps, _ = distance_vectors(keyed.where(F.col(target).isNull()), ["__key"], others, v["nominal"], fitted)
+            near = nearest(gaps, donor_vectors, v["k"], "__key", skip_self=False)
+            values = known.select(F.col("__key").alias("neighbour"), F.col(target).cast("double").alias("__value"))
             means = near.join(values, "neighbour").groupBy("id").agg(F.avg("__value").alias("__mean")).withColumnRenamed("id", "__id")
-            filled = out.join(means, F.col(key).cast("string") == F.col("__id"), "left")
+            filled = out.join(means, F.col("__key") == F.col("__id"), "left")
             out = filled.withColumn(target, F.coalesce(F.col(target).cast("double"), "__mean")).drop("__id", "__mean")
         return out.select(*df.columns)
 
