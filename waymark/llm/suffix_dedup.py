@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from waymark.llm import text_arrays
 from waymark.llm.tables import table
-from waymark.llm.units import UNIT_BYTES, in_units, loose, packed, range_edges, squeezed, texts_of, units_of, unpacked
+from waymark.llm.units import in_units, loose, packed, range_edges, squeezed, texts_of, units_of, unpacked
 
 LENGTH, GRAM = 50, 19
 STARTS = LENGTH - GRAM + 1  # grams of a string, and the most strings of one piece
 HOT = 10_000  # pieces of an anchor in the corpus
+UNIT_BYTES = 6 << 20  # text of a unit; the arrays of a task are some forty times as large
 BATCH = 2_500  # pieces that are indexed together, so that the arrays of a round stay in cache
 _SALT = np.uint64(0x8F3A6C1D5B79E247)
 
@@ -212,6 +213,8 @@ def _asked(parts: int):
             cut = np.concatenate([[0], np.searchsorted(anchors, edges), [len(anchors)]])
             for part in range(parts):
                 s = slice(cut[part], cut[part + 1])
+                if cut[part] == cut[part + 1]:
+                    continue  # of many small ranges a unit asks few
                 blobs = [*packed(anchors[s]), squeezed(low[s]), squeezed(high[s] - low[s]), squeezed(counts[s])]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "unit": pa.array([number], pa.int32()), **{f"b{i}": [b] for i, b in enumerate(blobs)}})
 
@@ -285,6 +288,8 @@ def _sent(parts: int):
         out = {name: [] for name in ("part", "unit", "keys_low", "keys_high", "owners", "lengths", "bytes")}
         for part in range(parts):
             s = slice(cut[part], cut[part + 1])
+            if cut[part] == cut[part + 1]:
+                continue
             length = sent.end[s] - sent.begin[s]
             at = np.repeat(sent.begin[s] - (np.cumsum(length) - length), length) + np.arange(length.sum())
             low, high = packed(sent.key[s])
@@ -299,6 +304,18 @@ def _sent(parts: int):
 _SENT = "part int, unit int, keys_low binary, keys_high binary, owners binary, lengths binary, bytes binary"
 
 
+def _names(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive strings, some bytes at a time."""
+    out, begin = np.zeros(len(starts), np.uint64), 0
+    while begin < len(starts):
+        end = max(int(np.searchsorted(starts, starts[begin] + text_arrays.PIECE_BYTES)), begin + 1)
+        stop = starts[end - 1] + length[end - 1]
+        some = starts[begin:end] - starts[begin]
+        out[begin:end] = text_arrays.PrefixHash(data[starts[begin] : stop]).of(some, some + length[begin:end])
+        begin = end
+    return out
+
+
 def _indexed(sent: pa.Table) -> pa.Table:
     """Answer, for each string sent, which of its starts also begin in a smaller document."""
     column = lambda name: sent[name].to_pylist()
@@ -307,7 +324,7 @@ def _indexed(sent: pa.Table) -> pa.Table:
     length = np.concatenate([loose(x, np.uint8) for x in column("lengths")]).astype(np.int64)
     data = np.concatenate([loose(x, np.uint8) for x in column("bytes")])
     starts = np.cumsum(length) - length
-    name = text_arrays.PrefixHash(data).of(starts, starts + length)
+    name = _names(data, starts, length)
     # Equal strings of several units are one string of the smallest owner.
     order = np.lexsort((owner, name, key))
     key, owner, name, length, starts = key[order], owner[order], name[order], length[order], starts[order]
