@@ -60,8 +60,9 @@ class Unit:
     """The tokens of some documents: names of words and pairs, and where they stand."""
 
     def __init__(self, texts: pa.Array):
-        hashes, offsets = text_arrays.word_hashes(texts)
-        sizes = np.diff(offsets) + 1
+        found = [text_arrays.word_hashes(p["text"]) for p in text_arrays.pieces(pa.RecordBatch.from_arrays([texts], ["text"]))]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in found]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(o) for _, o in found]]) + 1
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         tokens = np.full(self.offsets[-1], _END, np.uint64)
         is_word = np.ones(len(tokens), bool)
@@ -100,6 +101,8 @@ def _asked(parts: int):
             words, pairs = unit.ranges(parts)
             for part in range(parts):
                 w, p = slice(words[part], words[part + 1]), slice(pairs[part], pairs[part + 1])
+                if w.start == w.stop and p.start == p.stop:
+                    continue  # of many small ranges a unit asks few
                 columns = [*packed(unit.words[w]), squeezed(word_counts[w]), *packed(unit.pairs[p]), squeezed(pair_counts[p])]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "unit": pa.array([number], pa.int32()), **{f"b{i}": [c] for i, c in enumerate(columns)}})
 

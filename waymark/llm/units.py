@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 
 
 def in_units(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, int]:
