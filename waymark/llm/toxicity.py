@@ -49,6 +49,8 @@ class ToxicityModel:
     prior: float = 0.0
 
     def scores(self, doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        if self.bias == -np.inf:
+            return np.zeros(n)
         z = np.full(n, self.bias)
         if len(self.slots):
             at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
@@ -83,12 +85,22 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([piece["toxic"], piece["drawn"], lists], ["toxic", "drawn", "slots"])
 
 
-def _selected(doc: np.ndarray, slot: np.ndarray, positive: np.ndarray, min_z: float) -> np.ndarray:
+def _pairs(slots: pa.ListArray, step: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text index and slot of all features, some texts at a time."""
+    offsets, values = np.asarray(slots.offsets), np.asarray(slots.values)
+    for start in range(0, len(slots), step):
+        ends = offsets[start : start + step + 1]
+        doc = np.repeat(np.arange(start, start + len(ends) - 1), np.diff(ends))
+        yield doc, values[ends[0] : ends[-1]].astype(np.int64)
+
+
+def _selected(slots: pa.ListArray, positive: np.ndarray, min_z: float) -> np.ndarray:
     """Slots whose share of positives differs from that of unlabelled texts by ``min_z``
     standard errors."""
-    size = 1 << SLOT_BITS
-    total = np.bincount(slot, minlength=size).astype(float)
-    hits = np.bincount(slot[positive[doc]], minlength=size).astype(float)
+    total, hits = np.zeros((2, 1 << SLOT_BITS))
+    for doc, slot in _pairs(slots):
+        total += np.bincount(slot, minlength=len(total))
+        hits += np.bincount(slot[positive[doc]], minlength=len(total))
     share = positive.mean()
     z = (hits - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9) + 1.0)
     return np.flatnonzero(np.abs(z) >= min_z)
@@ -105,8 +117,7 @@ def _bounded_prior(prior: float, hits: np.ndarray, marginal: np.ndarray) -> floa
 
 
 def fit_nnpu(
-    doc: np.ndarray,
-    slot: np.ndarray,
+    features: pa.ListArray,
     positive: np.ndarray,
     unlabelled: np.ndarray,
     prior: float,
@@ -115,14 +126,20 @@ def fit_nnpu(
     rate: float = 0.1,
     l2: float = 1e-6,
 ) -> ToxicityModel:
-    """Fit on word presence pairs. ``positive`` and ``unlabelled`` have one flag per text; a
+    """Fit on the word slots of each text. ``positive`` and ``unlabelled`` have one flag per text; a
     confirmed text that was also drawn from all texts has both."""
     if not positive.any() or positive.all() or not unlabelled.any():
         return ToxicityModel(prior=prior)
-    slots = _selected(doc, slot, positive, min_z)
-    at = np.minimum(np.searchsorted(slots, slot), max(len(slots) - 1, 0))
-    known = slots[at] == slot if len(slots) else np.zeros(len(slot), bool)
-    doc, at, n = doc[known], at[known], len(positive)
+    slots = _selected(features, positive, min_z)
+    if not len(slots):
+        return ToxicityModel(bias=float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior=prior)
+    docs, places, n = [], [], len(positive)
+    for doc, slot in _pairs(features):
+        place = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+        known = slots[place] == slot
+        docs.append(doc[known])
+        places.append(place[known])
+    doc, at = np.concatenate(docs), np.concatenate(places)
     share = {True: positive / positive.sum(), False: unlabelled / unlabelled.sum()}
     hits, marginal = (np.bincount(at, share[side][doc], minlength=len(slots)) for side in (True, False))
     risen = hits > 2 * marginal
@@ -165,10 +182,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
     if not found.num_rows:
         return ToxicityModel()
     lists = found["slots"].combine_chunks() if isinstance(found["slots"], pa.ChunkedArray) else found["slots"]
-    doc = np.repeat(np.arange(found.num_rows), np.diff(np.asarray(lists.offsets)))
-    slot = np.asarray(lists.flatten()).astype(np.int64)
     flags = [np.asarray(found[c]).astype(bool) for c in ("toxic", "drawn")]
-    return fit_nnpu(doc, slot, *flags, prior=n_toxic / (n_toxic + n_clean))
+    return fit_nnpu(lists, *flags, prior=n_toxic / (n_toxic + n_clean))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
