@@ -30,11 +30,14 @@ def in_units(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame,
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Compressed numbers, all first bytes before all second ones: high bytes are mostly zero."""
+    values = np.ascontiguousarray(values)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
 def loose(blob: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), dtype=kind)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def packed(names: np.ndarray) -> tuple[bytes, bytes]:
