@@ -187,6 +187,48 @@ def test_a_substitution_in_every_fifth_word_is_found(spark, documents):
         assert [(r.doc_id, r.item_id) for r in found] == [(1, 1)]
 
 
+def overlaps_by_force(docs, items):
+    """The pairs of which any stretch of any shift satisfies the declared rule; no seeds, no scores."""
+    found = set()
+    for doc_id, text in docs:
+        for item_id, item in items:
+            for shift in range(-len(item) + 1, len(text)):
+                first, last = max(0, -shift), min(len(item), len(text) - shift)
+                hits = [0]
+                for k in range(first, last):
+                    hits.append(hits[-1] + (item[k] == text[k + shift]))
+                for i in range(len(hits)):
+                    for j in range(i + 10, len(hits)):
+                        if hits[j] - hits[i] >= 13 and 4 * (hits[j] - hits[i]) >= 3 * (j - i):
+                            found.add((doc_id, item_id))
+    return found
+
+
+def checked_overlaps(spark, documents, docs, items):
+    """The pairs found, after each row is held against the texts and the rule."""
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    rows = decontaminate.overlaps(documents([(i, " ".join(t)) for i, t in docs]), benchmark).collect()
+    for r in rows:
+        text, item = dict(docs)[r.doc_id][r.doc_start :][: r.length], dict(items)[r.item_id][r.item_start :][: r.length]
+        assert len(text) == len(item) == r.length and sum(x == y for x, y in zip(text, item)) == r.matched
+        assert r.matched >= 13 and r.matched * 4 >= r.length * 3
+    return {(r.doc_id, r.item_id) for r in rows}
+
+
+def replaced(item, places):
+    return [f"z{k}" if k in places else w for k, w in enumerate(item)]
+
+
+def test_any_stretch_by_the_rule_is_found(spark, documents):
+    """Words replaced near an end (14 of 15 match), and stretches that the best score joins or trims."""
+    item = [f"i{k}" for k in range(15)]
+    long = [f"j{k}" for k in range(45)]
+    docs = [(1, replaced(item, {2})), (2, replaced(item, {12})), (3, replaced(item, set(range(3, 8)))), (4, replaced(long, {*range(14, 20), *range(33, 45)}))]
+    items = [(1, item), (2, long)]
+    assert overlaps_by_force(docs, items) == {(1, 1), (2, 1), (4, 2)}
+    assert checked_overlaps(spark, documents, docs, items) == {(1, 1), (2, 1), (4, 2)}
+
+
 # Search.
 
 

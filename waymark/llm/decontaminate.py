@@ -4,9 +4,11 @@ A seed is a window of ten tokens of which a fixed mask keeps some and ignores th
 replaced token under an ignored position does not hide the window. Kept tokens of every
 benchmark window are hashed per mask and joined with those of every document window. Each hit
 names a diagonal: a document shift against an item. Along a diagonal the tokens are compared
-one by one, a match counts 1 and a substitution -2, and the best-scoring stretch is kept. A
-document overlaps an item if that stretch holds at least 13 matching tokens which are three
-quarters of it.
+one by one. A document overlaps an item if any stretch of a diagonal holds at least 13 matching
+tokens which are three quarters of it. Reported is the best-scoring stretch (a match counts 1, a
+substitution -2) if it is such a one, else the stretch with the most matches that is: the best
+score alone trims the ends behind a replaced word and may join stretches to less than three
+quarters. ``SQL`` knows the best-scoring stretch only and so finds a part of the overlaps.
 
 Tokens are runs of letters and digits after lower-casing A-Z. All work is DataFrame
 expressions; the document side is never shuffled while the benchmark's seeds are within the
@@ -72,6 +74,42 @@ def _best_stretch(matches: Column) -> Column:
     return F.aggregate(matches, begin, step)
 
 
+def _widest_stretch(matches: Column) -> Column:
+    """The run of a boolean array with the most matches of those that are three quarters
+    matches: 0-based start, end (exclusive), matched. It begins and ends with a match.
+
+    With 1 for a match and -3 for a mismatch such runs have sums of zero at least. For every
+    end the earliest start whose prefix sum is no larger takes the most; ``firsts`` holds, for
+    -1, -2 and so on, where the prefix sums first came down to it."""
+    zero, place = F.lit(0), lambda at, hits: F.struct(at.alias("at"), hits.alias("hits"))
+    names = ("at", "total", "hits", "best_start", "best_end", "best_hits")
+    begin = F.struct(*[zero.alias(c) for c in names], F.array().cast("array<struct<at:int,hits:int>>").alias("firsts"))
+
+    def step(s: Column, match: Column) -> Column:
+        at, hits = s["at"] + 1, s["hits"] + match.cast("int")
+        total = s["total"] + F.when(match, 1).otherwise(-3)
+        deeper = -total - F.size(s["firsts"])
+        firsts = F.when(deeper > 0, F.concat(s["firsts"], F.array_repeat(place(at, hits), deeper))).otherwise(s["firsts"])
+        origin = F.when(total >= 0, place(zero, zero)).otherwise(F.get(firsts, -total - 1))
+        more = hits - origin["hits"] > s["best_hits"]
+        return F.struct(
+            at.alias("at"),
+            total.alias("total"),
+            hits.alias("hits"),
+            F.when(more, origin["at"]).otherwise(s["best_start"]).alias("best_start"),
+            F.when(more, at).otherwise(s["best_end"]).alias("best_end"),
+            F.when(more, hits - origin["hits"]).otherwise(s["best_hits"]).alias("best_hits"),
+            firsts.alias("firsts"),
+        )
+
+    def trimmed(s: Column) -> Column:
+        skipped = F.array_position(F.slice(matches, s["best_start"] + 1, F.size(matches)), True) - 1
+        start = s["best_start"] + F.greatest(skipped, F.lit(0)).cast("int")
+        return F.struct(start.alias("best_start"), s["best_end"].alias("best_end"), s["best_hits"].alias("best_hits"))
+
+    return F.aggregate(matches, begin, step, trimmed)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every overlap of a document with a benchmark item, with its best diagonal.
 
@@ -94,20 +132,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     lined = lined.join(items, ["item_id", "item_hash"])
     item_tokens = F.slice("tokens", F.col("first") + 1, F.size("doc_tokens"))
-    best = lined.withColumn("best", _best_stretch(F.zip_with("doc_tokens", item_tokens, lambda x, y: x == y)))
+    lined = lined.withColumn("matches", F.zip_with("doc_tokens", item_tokens, lambda x, y: x == y))
+    needed = F.lit(MIN_MATCHED)
+    holds = lambda s: (s["best_hits"] >= needed) & (s["best_hits"] * 100 >= (s["best_end"] - s["best_start"]) * MIN_PERCENT)
+    best = lined.withColumn("best", _best_stretch(F.col("matches"))).withColumn("scored", holds(F.col("best")))
+    # Three quarters of matches leave a score of a third of them, so most chance hits end here.
+    best = best.where(F.col("best.best") * 3 >= needed)
+    stretch = F.when(F.col("scored"), F.struct("best.best_start", "best.best_end", "best.best_hits")).otherwise(_widest_stretch(F.col("matches")))
+    best = best.withColumn("stretch", stretch).where(holds(F.col("stretch")))
+    length, matched = F.col("stretch.best_end") - F.col("stretch.best_start"), F.col("stretch.best_hits")
     found = best.select(
         "doc_id",
         "text_hash",
         "item_id",
         "item_hash",
-        (F.col("first") + F.col("shift") + F.col("best.best_start")).cast("long").alias("doc_start"),
-        (F.col("first") + F.col("best.best_start")).cast("long").alias("item_start"),
-        (F.col("best.best_end") - F.col("best.best_start")).cast("long").alias("length"),
-        F.col("best.best_hits").cast("long").alias("matched"),
-        F.col("best.best").alias("score"),
-    ).where((F.col("matched") >= MIN_MATCHED) & (F.col("matched") * 100 >= F.col("length") * MIN_PERCENT))
+        (F.col("first") + F.col("shift") + F.col("stretch.best_start")).cast("long").alias("doc_start"),
+        (F.col("first") + F.col("stretch.best_start")).cast("long").alias("item_start"),
+        length.cast("long").alias("length"),
+        matched.cast("long").alias("matched"),
+        "scored",
+        (MATCH * matched + MISMATCH * (length - matched)).alias("score"),
+    )
     columns = ("doc_start", "item_start", "length", "matched")
-    order = F.struct(F.col("score"), -F.col("doc_start"), -F.col("item_start"))
+    order = F.struct(F.col("scored"), F.col("score"), -F.col("doc_start"), -F.col("item_start"))
     top = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct(*columns), order).alias("top"))
     return top.select("doc_id", "text_hash", "item_id", "top.*")
 
