@@ -229,6 +229,39 @@ def test_any_stretch_by_the_rule_is_found(spark, documents):
     assert checked_overlaps(spark, documents, docs, items) == {(1, 1), (2, 1), (4, 2)}
 
 
+def unseeded(length):
+    """The most matches that a stretch of this length can have without a seed."""
+    span = max(map(len, decontaminate.MASKS))
+    masks = [int(mask, 2) for mask in decontaminate.MASKS]
+    most = {0: 0}  # by the last matches and mismatches, as bits
+    for _ in range(length):
+        longer = {}
+        for last, matches in most.items():
+            for bit in (0, 1):
+                window = (last << 1 | bit) & (2**span - 1)
+                if not any(window & mask == mask for mask in masks):
+                    longer[window] = max(longer.get(window, 0), matches + bit)
+        most = longer
+    return max(most.values())
+
+
+@pytest.mark.parametrize("length", range(13, 34))
+def test_masks_are_lossless(length):
+    assert unseeded(length) < max(13, math.ceil(length * 0.75))
+
+
+def test_replacements_anywhere_are_found(spark, documents):
+    rng = random.Random(5)
+    items = [(i, [f"i{i}w{k}" for k in range(n)]) for i, n in enumerate([15, 17, 20, 24, 48])]
+    docs = [(1, replaced(items[0][1], {6, 8})), (2, replaced(items[4][1], set(range(3, 48, 4))))]
+    for i, item in items:
+        for k in range(12):
+            docs.append((100 * i + 10 + k, ["z"] * (k % 3) + replaced(item, set(rng.sample(range(len(item)), len(item) // 4 + k % 2)))))
+    expected = overlaps_by_force(docs, items)
+    assert {(1, 0), (2, 4)} <= expected
+    assert len(expected) > 20 and checked_overlaps(spark, documents, docs, items) == expected
+
+
 # Search.
 
 

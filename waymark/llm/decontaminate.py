@@ -1,14 +1,18 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a window of ten tokens of which a fixed mask keeps some and ignores the others, so a
-replaced token under an ignored position does not hide the window. Kept tokens of every
-benchmark window are hashed per mask and joined with those of every document window. Each hit
+A seed is a window of six to nine tokens of which a fixed mask keeps six and ignores the others,
+so a replaced token under an ignored position does not hide the window. Kept tokens of every
+benchmark window are hashed per mask and joined with those of every document window. The masks
+are lossless: every stretch that satisfies the rule below has a seed, wherever its replaced
+tokens are. (A stretch of 34 or more tokens has a half that satisfies the rule as well; shorter
+ones are checked one and all in the tests.) Each hit
 names a diagonal: a document shift against an item. Along a diagonal the tokens are compared
 one by one. A document overlaps an item if any stretch of a diagonal holds at least 13 matching
 tokens which are three quarters of it. Reported is the best-scoring stretch (a match counts 1, a
 substitution -2) if it is such a one, else the stretch with the most matches that is: the best
 score alone trims the ends behind a replaced word and may join stretches to less than three
-quarters. ``SQL`` knows the best-scoring stretch only and so finds a part of the overlaps.
+quarters. ``SQL`` has three masks, which are not lossless, and knows the best-scoring stretch
+only, and so finds a part of the overlaps.
 
 Tokens are runs of letters and digits after lower-casing A-Z. All work is DataFrame
 expressions; the document side is never shuffled while the benchmark's seeds are within the
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 
 from waymark.llm.tables import narrow, stored, table
 
-# 1: the token must match, 0: it is ignored.
-MASKS = ("1110110111", "1101111011", "1011001111")
-SPAN = 10
+# 1: the token must match, 0: it is ignored. Lossless for 13 matches at 75%.
+MASKS = ("111111", "11100111", "11011011", "110001111", "101110101", "110110101")
+# What the SQL seeds with; it misses overlaps that the masks above find.
+SQL_MASKS = ("1110110111", "1101111011", "1011001111")
+SPAN = 10  # tokens that an item must have
 MIN_MATCHED, MIN_PERCENT = 13, 75
 MATCH, MISMATCH = 1, -2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +46,13 @@ def tokens(text: Column) -> Column:
 
 def _seeds(df: DataFrame, position: str) -> DataFrame:
     """One row per window and mask: the 1-based position and the hash of the kept tokens."""
-    starts = F.sequence(F.lit(1), F.size("tokens") - (SPAN - 1))
+    starts = F.sequence(F.lit(1), F.size("tokens") - (min(map(len, MASKS)) - 1))
     at = df.where(F.size("tokens") >= SPAN).withColumn(position, F.explode(starts))
     token = lambda i: F.get("tokens", F.col(position) + (i - 1))
-    hashes = [F.xxhash64(F.lit(m), *[token(i) for i in range(SPAN) if mask[i] == "1"]) for m, mask in enumerate(MASKS)]
-    return at.withColumn("seed", F.explode(F.array(*hashes)))
+    kept = lambda m, mask: F.xxhash64(F.lit(m), *[token(i) for i in range(len(mask)) if mask[i] == "1"])
+    inside = lambda mask: F.col(position) + (len(mask) - 1) <= F.size("tokens")
+    hashes = [F.when(inside(mask), kept(m, mask)) for m, mask in enumerate(MASKS)]
+    return at.withColumn("seed", F.explode(F.array(*hashes))).where(F.col("seed").isNotNull())
 
 
 def _best_stretch(matches: Column) -> Column:
@@ -175,7 +183,7 @@ _TOKENS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPE
 
 def _window_sql(source: str, key: str, position: str) -> str:
     parts = []
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(SQL_MASKS):
         kept = ", ".join(f"t[i + {i}]" for i in range(SPAN) if mask[i] == "1")
         parts.append(f"SELECT {key}, i AS {position}, concat_ws(' ', '{m}', {kept}) AS seed FROM (SELECT *, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM {source})")
     return "\nUNION ALL\n".join(parts)
