@@ -262,6 +262,15 @@ def test_replacements_anywhere_are_found(spark, documents):
     assert len(expected) > 20 and checked_overlaps(spark, documents, docs, items) == expected
 
 
+def test_short_items_are_found_whole(spark, documents):
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (9, 10, 11, 12, 13)]
+    docs = [(n, ["a", *item, "b"]) for n, item in items] + [(100 + n, ["a", *replaced(item, {n - 1}), "b"]) for n, item in items]
+    benchmark = spark.createDataFrame([(n, " ".join(item)) for n, item in items], "item_id long, text string")
+    rows = decontaminate.overlaps(documents([(i, " ".join(t)) for i, t in docs]), benchmark).collect()
+    found = sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.length, r.matched) for r in rows)
+    assert found == [(n, n, 1, 0, n, n) for n in (10, 11, 12, 13)]
+
+
 # Search.
 
 

@@ -11,15 +11,16 @@ one by one. A document overlaps an item if any stretch of a diagonal holds at le
 tokens which are three quarters of it. Reported is the best-scoring stretch (a match counts 1, a
 substitution -2) if it is such a one, else the stretch with the most matches that is: the best
 score alone trims the ends behind a replaced word and may join stretches to less than three
-quarters. ``SQL`` has three masks, which are not lossless, and knows the best-scoring stretch
-only, and so finds a part of the overlaps.
+quarters. ``SQL`` has three masks, which are not lossless, knows the best-scoring stretch only
+and asks 13 matches of short items too, and so finds a part of the overlaps.
 
 Tokens are runs of letters and digits after lower-casing A-Z. All work is DataFrame
 expressions; the document side is never shuffled while the benchmark's seeds are within the
 proven broadcast bound, and hits are pre-aggregated per diagonal before they are.
 
-Missing and empty texts and items of fewer than ten tokens give no seeds: shorter phrases
-cannot be told from common ones. A repeated item id counts as one item with several texts.
+Items of 10 to 12 tokens are found where they are copied whole and word for word. Missing and
+empty texts and items of fewer than ten tokens give no seeds: shorter phrases cannot be told
+from common ones. A repeated item id counts as one item with several texts.
 Repeated documents are found each. Only the named columns are read.
 """
 
@@ -141,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lined = lined.join(items, ["item_id", "item_hash"])
     item_tokens = F.slice("tokens", F.col("first") + 1, F.size("doc_tokens"))
     lined = lined.withColumn("matches", F.zip_with("doc_tokens", item_tokens, lambda x, y: x == y))
-    needed = F.lit(MIN_MATCHED)
+    needed = F.least(F.lit(MIN_MATCHED), F.size("tokens"))
     holds = lambda s: (s["best_hits"] >= needed) & (s["best_hits"] * 100 >= (s["best_end"] - s["best_start"]) * MIN_PERCENT)
     best = lined.withColumn("best", _best_stretch(F.col("matches"))).withColumn("scored", holds(F.col("best")))
     # Three quarters of matches leave a score of a third of them, so most chance hits end here.
