@@ -359,6 +359,14 @@ def test_distrust_goes_against_links_and_trust_along(spark):
     assert found[100] == "block" and found[101] == "allow"
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    """At hop 16 a chain to 1000 blocked pages stands for at least 0.15 * 0.85^16 * 1000 = 11 of them."""
+    rows = [(i, f"http://h0.net/es/{i}", "") for i in range(1000)]
+    rows += [(1000 + k, f"http://h{k}.org/", f"<a href='http://h{k - 1}.{'org' if k > 1 else 'net'}/'>") for k in range(1, 17)]
+    found = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == 1016 and set(found.values()) == {"block"}
+
+
 # The pipeline and the registry.
 
 
