@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, language_model, maxscore, minhash, mixing, personal, suffix_dedup, token_counts, toxicity, urls
+from waymark.llm import decontaminate, filter_audit, language_model, maxscore, minhash, mixing, personal, suffix_dedup, token_counts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": minhash.op8_minhash,
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op7_urls": urls.SQL,
     "op9_maxscore": maxscore.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
