@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, filter_audit, language_model, maxscore, minhash, mixing, personal, suffix_dedup, token_counts, toxicity, urls
+from waymark.llm import decontaminate, filter_audit, language_model, lexical_search, maxscore, minhash, mixing, personal, phrase_automata, suffix_dedup, token_counts, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_phrases": phrase_automata.op12_phrases,
+    "op13_search": lexical_search.op13_search,
 }
 SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
@@ -27,4 +29,6 @@ SQL: dict[str, str] = {
     "op7_urls": urls.SQL,
     "op9_maxscore": maxscore.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op12_phrases": phrase_automata.SQL,
+    "op13_search": lexical_search.SQL,
 }
