@@ -43,32 +43,33 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column]) if len(column) else np.empty((0, 0))
 
 
-def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of two matrices, row blocks at a time."""
+def _distances(left: np.ndarray, right: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Distances of all rows of two matrices, row blocks at a time: ``euclidean``, or ``city``
+    for the sum of absolute differences. Both obey the triangle inequality."""
     out = np.empty((len(left), len(right)))
     block = max(1, 2_000_000 // max(1, right.size))
     for i in range(0, len(left), block):
         gap = left[i : i + block, None, :] - right[None, :, :]
-        out[i : i + block] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        out[i : i + block] = np.abs(gap).sum(axis=2) if metric == "city" else np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
     return out
 
 
-def _cell_column(pivots: np.ndarray):
+def _cell_column(pivots: np.ndarray, metric: str):
     @F.pandas_udf("cell int, d double")
     def place(vectors: pd.Series) -> pd.DataFrame:
-        near = _distances(_matrix(vectors), pivots)
+        near = _distances(_matrix(vectors), pivots, metric)
         best = near.argmin(axis=1)
         return pd.DataFrame({"cell": best.astype("int32"), "d": near[np.arange(len(best)), best]})
 
     return place
 
 
-def _route_column(pivots: np.ndarray, reach: dict[str, np.ndarray]):
+def _route_column(pivots: np.ndarray, reach: dict[str, np.ndarray], metric: str):
     """Cells a candidate must be sent to, per class."""
 
     @F.pandas_udf("array<int>")
     def route(vectors: pd.Series, groups: pd.Series) -> pd.Series:
-        away = _distances(_matrix(vectors), pivots)
+        away = _distances(_matrix(vectors), pivots, metric)
         none = np.full(len(pivots), -1.0)
         limits = np.stack([reach.get(g, none) for g in groups])
         return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in away <= limits])
@@ -76,9 +77,9 @@ def _route_column(pivots: np.ndarray, reach: dict[str, np.ndarray]):
     return route
 
 
-def _reach(pivots: np.ndarray, queries: list, nearest: list, k: int) -> dict[str, np.ndarray]:
+def _reach(pivots: np.ndarray, queries: list, nearest: list, k: int, metric: str) -> dict[str, np.ndarray]:
     """Largest pivot distance at which a candidate can still be a neighbour, per class and cell."""
-    between = _distances(pivots, pivots)
+    between = _distances(pivots, pivots, metric)
     known: dict[str, tuple[list[int], list[float]]] = {}
     for row in nearest:
         cells, away = known.setdefault(row["grp"], ([], []))
@@ -97,11 +98,11 @@ def _reach(pivots: np.ndarray, queries: list, nearest: list, k: int) -> dict[str
     return out
 
 
-def _tile_search(k: int):
+def _tile_search(k: int, metric: str):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts: dict[str, list] = {"grp": [], "key": [], "nid": [], "nkey": [], "distance": []}
         if not left.empty and not right.empty:
-            away = _distances(_matrix(left["vector"]), _matrix(right["vector"]))
+            away = _distances(_matrix(left["vector"]), _matrix(right["vector"]), metric)
             ids, keys = right["nid"].to_numpy(), right["nkey"].to_numpy()
             last = min(k, len(ids)) - 1
             rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
@@ -132,6 +133,7 @@ def nearest(
     skip_self: bool = True,
     pivots: int | None = None,
     tile: tuple[int, int] = (TILE_QUERIES, TILE_CANDIDATES),
+    metric: str = "euclidean",
 ) -> DataFrame:
     """``(id, neighbour, distance, place)``: the k nearest candidates of every query row.
 
@@ -153,16 +155,16 @@ def nearest(
     if not middle:
         return asked.sparkSession.createDataFrame([], "id string, neighbour string, distance double, place int")
     centres = np.array([r["vector"] for r in middle], dtype=float)
-    place = _cell_column(centres)
+    place = _cell_column(centres, metric)
     q = checkpointed(asked.select("grp", "key", "vector").dropDuplicates(["grp", "key"]).withColumn("p", place("vector")).select("grp", "key", "vector", "p.cell", "p.d"))
     b = checkpointed(kept.withColumn("p", place("vector")).select("grp", "nid", "nkey", "vector", "p.cell", "p.d"))
 
     radii = _cells(q.groupBy("grp", "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")))
     closest = Window.partitionBy("grp", "cell").orderBy("d", "nid")
     nearest_rows = _cells(b.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= wanted).select("grp", "cell", "d"), wanted)
-    reach = _reach(centres, radii, nearest_rows, wanted)
+    reach = _reach(centres, radii, nearest_rows, wanted, metric)
 
-    sent = b.withColumn("cell", F.explode(_route_column(centres, reach)("vector", "grp"))).drop("d")
+    sent = b.withColumn("cell", F.explode(_route_column(centres, reach, metric)("vector", "grp"))).drop("d")
     sent = checkpointed(sent)
     loads = sent.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("m"))
     sizes = q.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -177,7 +179,7 @@ def nearest(
     right = sent.join(tiles, ["grp", "cell"]).select("grp", "cell", "nid", "nkey", "vector", slot("nid", "bt").alias("bi"), each("qt").alias("qi"))
     by = ["grp", "cell", "qi", "bi"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
-        _tile_search(wanted), "grp string, key string, nid string, nkey string, distance double"
+        _tile_search(wanted, metric), "grp string, key string, nid string, nkey string, distance double"
     )
     order = Window.partitionBy("grp", "key").orderBy("distance", "nid")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted).drop("r")

@@ -79,12 +79,12 @@ def order_statistics(df: DataFrame, columns: Sequence[str], places: Callable[[Co
     grouped first, so the order runs over distinct values, in bounded ranges.
     """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    grouped = (
-        doubles.unpivot([], list(columns), "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    return long_order_statistics(doubles.unpivot([], list(columns), "column", "value"), places, **limits)
+
+
+def long_order_statistics(long: DataFrame, places: Callable[[Column], dict[str, Column]], **limits) -> DataFrame:
+    """``order_statistics`` of the values of each ``column`` in a table ``column, value``."""
+    grouped = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     ordered = running_totals(grouped, ["column"], [F.col("value")], {"upto": F.col("cnt")}, **limits)
     sizes = ordered.groupBy("column").agg(F.sum("cnt").alias("__n"))
     located = ordered.join(F.broadcast(sizes), "column")  # one row per listed column
