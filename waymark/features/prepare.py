@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from waymark.cluster import as_lookup, bounded_rows
 from waymark.features.base import FittedStep, FixedStep, Step
+from waymark.features.sketch import TensorSketch
 from waymark.functions.scalars import cyclic_month
 from waymark.operators.profile import quantiles
 from waymark.operators.reshape import column_names
@@ -291,14 +292,19 @@ def _weighted(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return out
 
 
-def _waves(spec: dict, project: tuple[list, list] | None = None):
-    """Random cosine features of a batch of rows, or their projection."""
-    weights, shifts = np.array(spec["weights"]), np.array(spec["shifts"])
+def _batch_map(spec: dict, project: tuple[list, list] | None = None):
+    """Random cosine or sketched features of a batch of rows, or their projection."""
+    if spec["kind"] == "waves":
+        weights, shifts = np.array(spec["weights"]), np.array(spec["shifts"])
+        features = lambda x: np.sqrt(2.0 / len(shifts)) * np.cos(x @ weights.T + shifts)
+    else:
+        features = TensorSketch(**{k: v for k, v in spec.items() if k != "kind"})
 
     @F.pandas_udf("array<double>")
     def mapped(rows: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(r, dtype=float) for r in rows]) if len(rows) else np.empty((0, weights.shape[1]))
-        z = np.sqrt(2.0 / len(shifts)) * np.cos(x @ weights.T + shifts)
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        z = features(np.stack([np.asarray(r, dtype=float) for r in rows]))
         if project is not None:
             z = (z - np.array(project[0])) @ np.array(project[1]).T
         return pd.Series(list(z))
@@ -313,6 +319,9 @@ def _square_map(x: Sequence[Column]) -> list[Column]:
     return [a * root for a in x] + pairs
 
 
+_IN_BATCHES = ("waves", "sketch")
+
+
 class _Projection(Step):
     """Principal components of a fixed map of the numeric columns. Rows with gaps are left
     out of the fit and get missing components."""
@@ -344,8 +353,8 @@ class _Projection(Step):
 
 def _mapped(columns: Sequence[str], spec: dict) -> Column:
     x = [F.col(c).cast("double") for c in columns]
-    if spec["kind"] == "waves":
-        return _waves(spec)(F.array(*x))
+    if spec["kind"] in _IN_BATCHES:
+        return _batch_map(spec)(F.array(*x))
     return F.array(*(_square_map(x) if spec["kind"] == "square" else x))
 
 
@@ -355,10 +364,10 @@ class FittedProjection(FittedStep):
         kept = [c for c in df.columns if c not in v["columns"]]
         names = [f"{v['prefix']}{i + 1}" for i in range(len(v["weights"]))]
         x = [F.col(c).cast("double") for c in v["columns"]]
-        if v["map"]["kind"] == "waves":
+        if v["map"]["kind"] in _IN_BATCHES:
             complete = F.when(~functools.reduce(operator.or_, [c.isNull() for c in x]), F.array(*x))
             filled = F.coalesce(complete, F.lit([0.0] * len(x)))
-            out = df.withColumn("__p", F.when(complete.isNotNull(), _waves(v["map"], (v["means"], v["weights"]))(filled)))
+            out = df.withColumn("__p", F.when(complete.isNotNull(), _batch_map(v["map"], (v["means"], v["weights"]))(filled)))
             return out.select(*kept, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
         cells = _square_map(x) if v["map"]["kind"] == "square" else x
         parts = []
@@ -392,6 +401,17 @@ class RadialComponents(_Projection):
         return {"kind": "waves", "weights": weights.tolist(), "shifts": draw.uniform(0, 2 * math.pi, v["features"]).tolist()}
 
 
+class SketchedComponents(_Projection):
+    """Components of the polynomial kernel (scale x.y + offset)^degree, through a tensor sketch
+    of fixed width: their cost does not grow with p^degree."""
+
+    def __init__(self, columns=None, k=5, degree=2, width=256, scale=1.0, offset=1.0, seed=945, **settings):
+        super().__init__(columns, k=k, degree=degree, width=width, scale=scale, offset=offset, seed=seed, **settings)
+
+    def _map(self, columns):
+        return {"kind": "sketch", "size": len(columns), **{c: self.values[c] for c in ("degree", "width", "scale", "offset", "seed")}}
+
+
 # Labels and weights
 
 

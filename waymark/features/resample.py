@@ -198,16 +198,21 @@ def bootstrap(df: DataFrame, ids: Sequence[str], times: int = 25, seed: int = 1,
     Weight 0 marks the out-of-bag rows of a replicate.
     """
     each = df.withColumn(replicate, F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return each.withColumn(weight, bootstrap_draws(ids, F.col(replicate), seed))
+
+
+def bootstrap_draws(ids: Sequence[str], replicate: Column, seed: int) -> Column:
+    """How often a row is drawn in a replicate: a Poisson(1) number from the row's id."""
     # The top 60 bits of a text hash, so that other engines draw the same numbers.
-    u = F.conv(F.substring(seeded_hash([*ids, replicate], seed), 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
+    parts = [*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids], replicate.cast("string"), F.lit(str(seed))]
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
     # Cumulative Poisson(1) probabilities e^-1 (1 + 1 + 1/2 + 1/6 + ...).
     edges, term, total = [], 0.36787944117144233, 0.0
     for k in range(16):
         term = term if k == 0 else term / k
         total += term
         edges.append(total)
-    draws = sum((F.when(F.col("__u") >= edge, 1).otherwise(0) for edge in edges), F.lit(0))
-    return each.withColumn("__u", u).withColumn(weight, draws).drop("__u")
+    return F.transform(F.array(u), lambda x: sum((F.when(x >= edge, 1).otherwise(0) for edge in edges), F.lit(0)))[0]
 
 
 def rose(df: DataFrame, label: str, ids: Sequence[str], numeric: Sequence[str], seed: int, shrink: float = 1.0) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.storagelevel import StorageLevel
 from waymark.cluster import checkpointed
 from waymark.features.base import FixedStep
 from waymark.features.resample import class_sizes
+from waymark.features.sketch import SketchedVector
 from waymark.functions.labels import from_code, to_code
 from waymark.operators.windows import likeliest_class
 
@@ -183,6 +184,22 @@ def polynomial_svm(df: DataFrame, label: str, degree: int = 2, cost: float = 1.0
     return _one_against_rest(df, label, declared, learner.fit, "raw", squash=True, before=[expand])
 
 
+def sketched_svm(
+    df: DataFrame, label: str, degree: int = 2, width: int = 256, scale: float = 1.0, offset: float = 1.0, cost: float = 1.0, steps: int = 50, seed: int = 1, declared=None
+) -> FittedClassifier:
+    """Polynomial support vector machines on a tensor sketch of the features, one per class.
+
+    The kernel is (scale x.y + offset)^degree; the sketch has ``width`` features whatever the
+    degree and the number of features are.
+    """
+    first = df.select(F.size(vector_to_array("features")).alias("n")).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    expand = SketchedVector(size=first["n"], degree=degree, width=width, scale=scale, offset=offset, seed=seed)
+    learner = LinearSVC(featuresCol="expanded", regParam=1.0 / max(cost, 1e-9) / 100, maxIter=steps)
+    return _one_against_rest(df, label, declared, learner.fit, "raw", squash=True, before=[expand])
+
+
 def boosted_trees_m1(
     df: DataFrame, label: str, rounds: int = 10, depth: int = 4, impurity: str = "gini", ids: Sequence[str] = ("id",), declared=None, cut_every: int = 5
 ) -> FittedClassifier:
