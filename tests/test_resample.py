@@ -54,8 +54,8 @@ def test_down_and_up_sampling(uneven):
 
 def test_repeat_in_chunks(spark):
     df = spark.createDataFrame([("a", 25), ("b", 1)], "id string, copies int")
-    for spread in (False, True):
-        out = B.repeated(df, "copies", spread=spread, chunk=10)
+    for chunk in (1, 10, 100):
+        out = B.repeated(df, "copies", chunk=chunk)
         assert sorted((r["id"], r["copy"]) for r in out.collect()) == [("a", i) for i in range(1, 26)] + [("b", 1)]
 
 
