@@ -120,7 +120,7 @@ def l12(spark, folder):
     return done.metrics
 
 
-@query("E18_error_by_round")
+@query("E18_error_by_round_binary")
 def e18(spark, folder):
     frame = prepared(spark, folder, "booked")
     fitted = L.boosted_binary(frame, "booked", rounds=4, depth=3, seed=SEED)
