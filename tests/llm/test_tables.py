@@ -122,16 +122,49 @@ def test_blocks_hold_the_weights(documents):
         assert max(shares) - min(shares) <= 2 * longest + 1
 
 
-def test_mixed_documents_and_nothing(documents):
-    docs = mix_rows(documents)
-    out = mixing.mixed_documents(docs)
+@pytest.mark.parametrize("limit", [mixing.LOOKUP_BUCKETS, 0])
+def test_mixed_documents_are_the_mix(documents, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "LOOKUP_BUCKETS", limit)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    docs = mix_rows(documents).withColumns({"row": F.lit("clash"), "key": F.lit(2), "hash": F.lit(3), "cuts": F.lit(4)})
+    out = mixing.mixed_documents(docs, mixing.Target(max_repeats=2.0), block_tokens=600)
     assert out.columns == [*[c for c in docs.columns if c != "mix_block"], "mix_epoch", "mix_block", "mix_place"]
-    assert Counter(r.doc_id for r in out.collect() if r.doc_id != 9) == Counter(
-        r.doc_id for r in mixing.mixed(docs, mixing.Target(max_repeats=2.0)).collect() if r.doc_id != 9
+    expected = mixing.mixed(docs, mixing.Target(max_repeats=2.0), block_tokens=600).collect()
+    assert Counter((r.doc_id, r.source, r.mix_epoch, r.mix_block, r.mix_place) for r in out.collect()) == Counter(
+        (r.doc_id, r.source, r.epoch, r.block, r.place) for r in expected
     )
+    assert max(r.block for r in expected) > 3
     assert mixing.mixed_documents(docs.limit(0)).collect() == []
 
 
+def test_repeated_rows_and_rows_without_ids_obey_the_quota(spark):
+    rows = [(7, "a b c", "x", i) for i in range(1000)] + [(None, f"w{i} w", "y", i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    target = mixing.Target(max_repeats=2.0)
+    mix = mixing.mixed(docs, target, budget=900).collect()
+    tokens = Counter()
+    for r in mix:
+        tokens[r.source] += r.n_tokens
+    assert 449 <= tokens["x"] < 460 and 449 <= tokens["y"] < 460
+    out = mixing.mixed_documents(docs, target, budget=900).collect()
+    assert Counter((r.source, r.mix_block, r.mix_place) for r in out) == Counter((r.source, r.block, r.place) for r in mix)
+    assert len({r.n for r in out if r.source == "x"}) == sum(r.source == "x" for r in mix)  # each row once
+    whole = mixing.mixed(docs, target, budget=9000).collect()
+    assert len({r.place for r in whole if r.source == "y" and r.epoch == 0}) == sum(r.source == "y" and r.epoch == 0 for r in whole)
+
+
+def test_offsets_in_two_levels(spark):
+    rng = random.Random(2)
+    rows = [("s", 0, f"{i:03x}", 3, rng.randrange(9)) for i in range(4096) if rng.random() < 0.3] + [("t", 1, f"{i:x}", 1, 5) for i in range(16)]
+    copies = spark.createDataFrame(rows, "stream string, epoch long, bucket string, digits int, n_tokens long")
+    found = {(r.stream, r.bucket): r.offset for r in mixing._offsets(copies, ["stream", "epoch"]).collect()}
+    for stream in "st":
+        total = 0
+        for _, _, bucket, _, n in sorted(r for r in rows if r[0] == stream):
+            assert found[stream, bucket] == total
+            total += n
+
+
 # Decontamination.
 
 
@@ -400,6 +433,6 @@ def test_pipeline_runs_its_stages(spark, folder):
 
 
 def test_registry():
-    assert list(QUERIES) == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 10
+    assert list(QUERIES) == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) and len(QUERIES) == 13
     assert set(SQL) <= set(QUERIES)
     assert near_copies(random.Random(1), 2)

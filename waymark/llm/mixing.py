@@ -13,11 +13,18 @@ Positions are cut into as many blocks for every source, so every block holds the
 hash orders the copies inside a block.
 
 A permutation is never sorted in one task: hash prefixes cut it into buckets whose number
-grows with the rows, running sums are taken in a bucket and offset by bucket totals.
-
-A missing source is a source. Texts without tokens are never drawn. A missing id is drawn like
-any other, repeated rows are drawn each. An empty table gives no rows. Everything is DataFrame
-expressions; only ``doc_id``, ``text`` and ``source`` are read.
+grows with the rows of the source, running sums are taken in a bucket and offset by the totals
+of the buckets before it, in two levels.
+
+A draw is a hash of id, text and the number of the row among equal rows, so rows without an id
+are told apart by their texts and repeated rows are drawn each. ``mixed_documents`` moves no
+text of a row that is there once: where a block begins in a bucket is a hash, so a row's own hash
+says where it belongs. The table of these hashes is broadcast if it is small. Only repeated rows
+are written down with a number and joined to their draws.
+
+A missing source is a source, and so is an empty one. Texts without tokens are never drawn. An
+empty table gives no rows. Everything is DataFrame expressions; only ``doc_id``, ``text`` and
+``source`` are read.
 """
 
 from __future__ import annotations
@@ -28,11 +35,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.tables import stored, table
+from waymark.features.resample import repeated
+from waymark.llm.tables import narrow, stored, table
 
 HALVINGS, PER_JOB = 42, 6
 SEED = 20
 BUCKET_ROWS = 1000
+LOOKUP_BUCKETS = 200_000  # buckets whose block hashes are broadcast
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 100_000
 
@@ -89,16 +98,39 @@ def exponent(totals: DataFrame, all_tokens: int, sources: int, budget: int, targ
     return high if falling else low
 
 
-def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The mix: one row per document copy, ``doc_id, text_hash, source, n_tokens, epoch, block,
-    place``; ``text_hash`` is ``xxhash64(text)``.
+_EQUAL = ["doc_id", "text_hash", "source"]
 
-    ``budget`` is the number of tokens of the mix (default: as many as there are), ``place``
-    the order inside a block.
-    """
-    sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
-    sized = stored(sized, "sized")
-    totals = stored(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
+
+def _text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _stream(source: Column) -> Column:
+    """A source as text that is never missing."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _draw(doc_id: Column, text_hash: Column, number: Column, epoch: Column) -> Column:
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), text_hash, number.cast("string"), epoch.cast("string"), F.lit(str(SEED))]
+    return F.md5(F.concat_ws(":", *parts))
+
+
+@dataclass
+class _Plan:
+    """``sized``: different rows with ``n_tokens`` and how often they are there; ``quotas``: per
+    ``stream`` its tokens, its quota and the hash digits of its buckets; ``placed``: all copies with
+    ``block``, which is missing behind the quota."""
+
+    sized: DataFrame
+    quotas: DataFrame
+    placed: DataFrame
+
+
+def _planned(docs: DataFrame, target: Target, budget: int | None, block_tokens: int) -> _Plan:
+    sized = docs.select("doc_id", _text_hash(F.col("text")).alias("text_hash"), "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    sized = stored(sized.groupBy(*_EQUAL, "n_tokens").agg(F.count("*").alias("rows")), "sized")
+    totals = sized.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("tokens"), F.sum("rows").alias("rows"))
+    totals = stored(totals, "totals")
     all_tokens, rows, sources = totals.agg(F.sum("tokens"), F.sum("rows"), F.count("*")).first()
     all_tokens, rows = all_tokens or 0, rows or 0
     budget = all_tokens if budget is None else budget
@@ -106,54 +138,115 @@ def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_toke
 
     power = F.exp(F.lit(x) * F.ln(F.col("tokens") / F.lit(float(max(all_tokens, 1)))))
     z = totals.agg(F.sum(power)).first()[0] or 1.0
-    quotas = totals.select(
-        F.col("source").alias("__source"), "tokens", F.floor(F.round(power / F.lit(z), 9) * F.lit(float(budget))).cast("long").alias("quota")
-    )
-    copies = sized.join(quotas, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").where("quota > 0")
+    quota = F.floor(F.round(power / F.lit(z), 9) * F.lit(float(budget))).cast("long")
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("rows") / BUCKET_ROWS))).cast("int")
+    quotas = stored(totals.select(_stream(F.col("source")).alias("stream"), "tokens", quota.alias("quota"), digits.alias("digits")).where("quota > 0"), "quotas")
+
+    drawn = sized.withColumn("stream", _stream(F.col("source"))).join(quotas, "stream")
+    single = drawn.where("rows = 1").drop("rows").withColumn("number", F.lit(1).cast("long"))
+    # A row that is there very often is repeated in chunks, by several tasks.
+    copies = single.unionByName(repeated(drawn.where("rows > 1"), "rows", "number").drop("rows"))
     copies = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("tokens")))))
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "epoch", F.lit(SEED))
-    digits = max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)) if rows > BUCKET_ROWS else 1)
-    copies = copies.withColumn("hash", F.md5(name)).withColumn("bucket", F.substring("hash", 1, digits))
+    copies = copies.withColumn("hash", _draw(F.col("doc_id"), F.col("text_hash"), F.col("number"), F.col("epoch")))
+    copies = copies.withColumn("bucket", F.substring("hash", F.lit(1), F.col("digits")))
 
-    stream = ["source", "epoch"]
-    inside = Window.partitionBy(*stream, "bucket").orderBy("hash", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*stream).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    at = ["stream", "epoch"]
+    inside = Window.partitionBy(*at, "bucket").orderBy("hash", "doc_id", "number").rowsBetween(Window.unboundedPreceding, -1)
     local = copies.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    offsets = copies.groupBy(*stream, "bucket").agg(F.sum("n_tokens").alias("held"))
-    offsets = offsets.select(
-        F.col("source").alias("__source"), F.col("epoch").alias("__epoch"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset")
-    )
-    match = F.col("source").eqNullSafe(F.col("__source")) & (F.col("epoch") == F.col("__epoch")) & (F.col("bucket") == F.col("__bucket"))
-    placed = local.join(offsets, match).withColumn("at", F.col("epoch") * F.col("tokens") + F.col("offset") + F.col("ahead"))
+    placed = local.join(_offsets(copies, at), [*at, "bucket"]).withColumn("at", F.col("epoch") * F.col("tokens") + F.col("offset") + F.col("ahead"))
     blocks = max(1, math.ceil(budget / block_tokens))
-    return placed.where("at < quota").select(
-        "doc_id",
-        "text_hash",
-        "source",
-        "n_tokens",
-        "epoch",
-        F.floor(F.col("at").cast("double") * F.lit(float(blocks)) / F.col("quota")).cast("long").alias("block"),
-        F.md5(F.concat_ws(":", "hash", F.lit("block"))).alias("place"),
-    )
+    block = F.floor(F.col("at").cast("double") * F.lit(float(blocks)) / F.col("quota")).cast("long")
+    return _Plan(sized, quotas, placed.withColumn("block", F.when(F.col("at") < F.col("quota"), block)))
+
+
+def _offsets(copies: DataFrame, at: list[str]) -> DataFrame:
+    """The tokens before each bucket. Buckets are summed inside groups of a shorter prefix, and
+    these groups once more."""
+    held = copies.groupBy(*at, "bucket", "digits").agg(F.sum("n_tokens").alias("held"))
+    held = held.withColumn("group", F.substring("bucket", F.lit(1), F.floor(F.col("digits") / 2).cast("int")))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    local = held.withColumn("local", F.coalesce(F.sum("held").over(before([*at, "group"], "bucket")), zero))
+    groups = held.groupBy(*at, "group").agg(F.sum("held").alias("sum"))
+    groups = groups.withColumn("base", F.coalesce(F.sum("sum").over(before(at, "group")), zero))
+    return local.join(groups, [*at, "group"]).select(*at, "bucket", (F.col("local") + F.col("base")).alias("offset"))
+
+
+def _place(hash_: Column) -> Column:
+    return F.md5(F.concat_ws(":", hash_, F.lit("block")))
+
+
+def mixed(docs: DataFrame, target: Target, budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The mix: one row per document copy, ``doc_id, text_hash, source, n_tokens, epoch, block,
+    place``; ``text_hash`` is the md5 of the text.
+
+    ``budget`` is the number of tokens of the mix (default: as many as there are), ``place``
+    the order inside a block.
+    """
+    placed = _planned(docs, target, budget, block_tokens).placed.where("block IS NOT NULL")
+    return placed.select("doc_id", "text_hash", "source", "n_tokens", "epoch", "block", _place(F.col("hash")).alias("place"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), Target(max_repeats=MAX_REPEATS)).drop("text_hash")
 
 
-def mixed_documents(docs: DataFrame, target: Target = Target(max_repeats=MAX_REPEATS), budget: int | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, target: Target = Target(max_repeats=MAX_REPEATS), budget: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents of the mix with all their columns, plus ``mix_epoch, mix_block`` and
     ``mix_place`` (which replace columns of these names)."""
-    added = {"epoch": "mix_epoch", "block": "mix_block", "place": "mix_place"}
-    copies = mixed(docs, target, budget).dropDuplicates(["doc_id", "text_hash", "epoch"])
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), *[F.col(c).alias(n) for c, n in added.items()])
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.drop(*added.values()).join(stored(copies, "copies"), match).drop("__id", "__hash")
+    plan = _planned(docs, target, budget, block_tokens)
+    placed = stored(plan.placed.select(*_EQUAL, "number", "stream", "epoch", "bucket", "hash", "block"), "placed")
+    added = ["mix_epoch", "mix_block", "mix_place"]
+    # Columns of the table stay inside a struct, apart from the names used here.
+    rows = docs.drop(*added).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
+        F.struct("*").alias("row"), "doc_id", _text_hash(F.col("text")).alias("text_hash"), "source"
+    )
+    several = plan.sized.where("rows > 1").select(*[F.col(c).alias(f"s_{c}") for c in _EQUAL])
+    several = narrow(stored(several, "several"))
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in _EQUAL]
+    parts = [
+        _looked_up(rows.join(several, same, "left_anti"), plan, placed),
+        _numbered(rows.join(several, same, "left_semi"), placed),
+    ]
+    out = parts[0].unionByName(parts[1])
+    found = {"mix_epoch": F.col("epoch"), "mix_block": F.col("block"), "mix_place": _place(F.col("hash"))}
+    return out.select("row.*", *[c.alias(n) for n, c in found.items()])
+
+
+def _looked_up(rows: DataFrame, plan: _Plan, placed: DataFrame) -> DataFrame:
+    """``row, epoch, block, hash`` of the drawn copies of rows that are there once."""
+    at = ["stream", "epoch", "bucket"]
+    cuts = placed.groupBy(*at, F.coalesce("block", F.lit(-1)).alias("block")).agg(F.min("hash").alias("first"))
+    cuts = cuts.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("first", "block"))).alias("cuts"))
+    lookup = narrow(stored(cuts, "cuts"), LOOKUP_BUCKETS)
+    copies = rows.withColumn("stream", _stream(F.col("source"))).join(narrow(plan.quotas, LOOKUP_BUCKETS), "stream")
+    copies = copies.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("tokens")))))
+    copies = copies.withColumn("hash", _draw(F.col("doc_id"), F.col("text_hash"), F.lit(1), F.col("epoch")))
+    copies = copies.withColumn("bucket", F.substring("hash", F.lit(1), F.col("digits"))).join(lookup, at)
+    # Blocks begin in the order of hashes, and what is behind the quota comes last.
+    passed = F.filter("cuts", lambda c: c["first"] <= F.col("hash"))
+    return copies.withColumn("block", F.element_at(passed, -1)["block"]).where("block >= 0").select("row", "epoch", "block", "hash")
+
+
+def _numbered(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The same for repeated rows: they are written down once, numbered by the task that wrote
+    them and then inside of it, and joined to their draws."""
+    held = stored(rows.withColumn("task", F.spark_partition_id()), "repeated")
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.col("text_hash"), _stream(F.col("source"))]
+    held = held.withColumn("key", F.md5(F.concat_ws(":", *[k.cast("string") for k in key])))
+    sums = held.groupBy("key", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("key", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("key", "task").orderBy(F.xxhash64("row"))
+    numbered = held.join(bases, ["key", "task"]).withColumn("number", F.row_number().over(inside) + F.col("base"))
+    draws = placed.where("block IS NOT NULL").withColumn("key", F.md5(F.concat_ws(":", *[k.cast("string") for k in key])))
+    return numbered.select("row", "key", "number").join(draws.select("key", "number", "epoch", "block", "hash"), ["key", "number"]).select("row", "epoch", "block", "hash")
 
 
 SQL = f"""
 WITH RECURSIVE sized AS (
-    SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+    SELECT doc_id, source, md5(coalesce(text, '')) AS text_hash, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS number,
+        CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
     FROM documents
 ),
 totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM sized WHERE n_tokens > 0 GROUP BY source),
@@ -180,10 +273,10 @@ copies AS (
     SELECT s.*, q.tokens, q.quota, q.t, unnest(range(0, CAST(floor((quota - 1) / tokens) AS BIGINT) + 1)) AS epoch
     FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source WHERE n_tokens > 0 AND quota > 0
 ),
-hashed AS (SELECT *, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), epoch, {SEED})) AS hash FROM copies),
+hashed AS (SELECT *, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), text_hash, number, epoch, {SEED})) AS hash FROM copies),
 placed AS (
     SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (
-        PARTITION BY source, epoch ORDER BY hash, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+        PARTITION BY source, epoch ORDER BY hash, doc_id, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
     FROM hashed
 )
 SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch,
