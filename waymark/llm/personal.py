@@ -12,13 +12,19 @@ check. The method adds identifiers that no expression describes:
    enough confidence are trusted. Scores and confidences are computed in turn for some rounds.
 4. What follows a trusted pattern and overlaps no base span is a span of the kind ``id``.
 
-Everything is DataFrame expressions. Spans count code points, end exclusive. The patterns are
+``redacted`` finds the spans a second time, against the trusted patterns, in the pass that
+rewrites the texts, so no text moves. A pattern whose ending is trusted too adds nothing and is
+left out; the others are part of the expression up to ``PATTERNS`` of them, beyond that the added
+spans are joined to the texts.
+
+Everything is DataFrame expressions. Candidates have ``MIN_LENGTH`` characters at least; shorter
+runs of digits are not identifiers. Spans count code points, end exclusive. The patterns are
 possessive where the plain ones are greedy, with the same matches, so long texts neither
 backtrack nor overflow the stack.
 
 A missing text is empty and has no spans. Missing ids are allowed; repeated rows are handled
 each (equal instances count once in the graph). Only ``doc_id`` and ``text`` are read, all
-other columns of ``redacted`` are kept.
+other columns of ``redacted`` are kept, whatever their names are.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.cluster import bounded_rows
 from waymark.llm.tables import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -41,6 +48,7 @@ _IDENTIFIER = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
 _KEY_SHAPE = r"^(?:[0-9a-f]{32,}|[A-Z]{4}[A-Z0-9]{16})$"
 CONTEXT_CHARS, MIN_LENGTH = 40, 6
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.7, 3
+PATTERNS = 20_000  # patterns that become part of an expression
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -177,16 +185,24 @@ def trusted_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, spans`` of every row: spans as ``kind, start, end`` by kind and start."""
+def _mentioned(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, spans, candidates, row`` of every row, stored: base spans only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
     seen = F.when(F.col("text").rlike("[0-9@]"), _candidates(F.col("text"), F.col("spans")))
     rows = rows.withColumn("candidates", seen).drop("text").withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "spans")
+    return stored(rows, "spans")
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, spans`` of every row: spans as ``kind, start, end`` by kind and start."""
+    rows = _mentioned(docs)
     mentions = stored(rows.select("row", F.inline("candidates")), "mentions")
-    trusted = trusted_patterns(mentions)
+    return _with_added(rows, mentions, trusted_patterns(mentions))
+
+
+def _with_added(rows: DataFrame, mentions: DataFrame, trusted: DataFrame) -> DataFrame:
     free = mentions.where("free").select("row", "start", "end", F.explode("patterns").alias("pattern"))
     added = free.join(trusted.select("pattern"), "pattern").select("row", "start", "end").distinct()
     added = added.groupBy("row").agg(
@@ -197,18 +213,33 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text_hash", spans.alias("spans"))
 
 
+def _least_patterns(trusted: DataFrame) -> DataFrame:
+    """The trusted patterns none of whose endings (of one or two words) is trusted."""
+    words = F.split("pattern", " ", -1)
+    endings = F.array(*[F.when(F.size(words) > n, F.array_join(F.slice(words, -n, n), " ")) for n in (1, 2)])
+    implied = trusted.select("pattern", F.explode(endings).alias("ending")).join(trusted.select(F.col("pattern").alias("ending")), "ending")
+    return trusted.select("pattern").join(implied.select("pattern"), "pattern", "left_anti")
+
+
+def all_spans(text: Column, patterns: list[str]) -> Column:
+    """Base spans, and the free candidates behind one of the patterns, of a text."""
+
+    def added(spans: Column) -> Column:
+        behind = lambda c: c["free"] & F.exists(c["patterns"], lambda p: p.isin(patterns))
+        kind = F.lit(KINDS.index("id")).alias("kind")
+        return F.concat(spans, F.transform(F.filter(_candidates(text, spans), behind), lambda c: F.struct(kind, c["start"].alias("start"), c["end"].alias("end"))))
+
+    return F.when(text.rlike("[0-9@]"), _let(base_spans(text), added)).otherwise(F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
+
+
 def _written(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind in brackets, and ``n_chars``,
-    if there is one, counted anew. Overlapping spans become one, named after the first."""
-    spans = find_spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    spans = stored(spans.dropDuplicates(["__id", "__hash"]), "found")
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+def _rebuilt(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind in brackets."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def merge(kept: Column, s: Column) -> Column:
         last = F.element_at(kept, -1)
@@ -216,24 +247,42 @@ def redacted(docs: DataFrame) -> DataFrame:
         overlaps = (F.size(kept) > 0) & (F.get(kept, F.size(kept) - 1)["end"] > s["start"])
         return F.when(overlaps, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(s)))
 
-    def rebuilt(kept: Column) -> Column:
+    def written(kept: Column) -> Column:
         names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
         def piece(s: Column, i: Column) -> Column:
             begin = F.when(i == 0, F.lit(0)).otherwise(F.get(kept, i - 1)["end"]).cast("int")
-            return F.concat(F.substring("text", begin + 1, s["start"].cast("int") - begin), names[s["kind"]])
+            return F.concat(F.substring(text, begin + 1, s["start"].cast("int") - begin), names[s["kind"]])
 
         rest = F.expr("2147483647")
         end = F.element_at(kept, -1)["end"].cast("int")
-        return F.concat(F.array_join(F.transform(kept, piece), ""), F.substring("text", end + 1, rest))
+        return F.concat(F.array_join(F.transform(kept, piece), ""), F.substring(text, end + 1, rest))
 
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
-    clean = _let(F.aggregate(order, empty, merge), rebuilt)
-    out = docs.join(spans, match, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
+    return _let(F.aggregate(order, empty, merge), written)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind in brackets, and ``n_chars``,
+    if there is one, counted anew. Overlapping spans become one, named after the first."""
+    rows = _mentioned(docs)
+    mentions = stored(rows.select("row", F.inline("candidates")), "mentions")
+    trusted = trusted_patterns(mentions)
+    # Columns of the table stay inside a struct, apart from the names used here.
+    whole = docs.select(F.struct("*").alias("row"))
+    patterns = bounded_rows(_least_patterns(trusted), PATTERNS)
+    if patterns is not None:
+        found = whole.withColumn("spans", all_spans(F.coalesce("row.text", F.lit("")), sorted(r["pattern"] for r in patterns)))
+    else:
+        spans = _with_added(rows, mentions, trusted).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+        spans = stored(spans, "found")
+        found = whole.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash")), "left")
+    hit = F.size(F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))) > 0
+    found = found.select("row", F.when(hit, _rebuilt(F.col("row.text"), F.col("spans"))).alias("clean"))
+    changed = {"text": F.coalesce("clean", "row.text")}
     if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(changed))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
