@@ -11,8 +11,7 @@ one by one. A document overlaps an item if any stretch of a diagonal holds at le
 tokens which are three quarters of it. Reported is the best-scoring stretch (a match counts 1, a
 substitution -2) if it is such a one, else the stretch with the most matches that is: the best
 score alone trims the ends behind a replaced word and may join stretches to less than three
-quarters. ``SQL`` has three masks, which are not lossless, knows the best-scoring stretch only
-and asks 13 matches of short items too, and so finds a part of the overlaps.
+quarters.
 
 Tokens are runs of letters and digits after lower-casing A-Z. All work is DataFrame
 expressions; the document side is never shuffled while the benchmark's seeds are within the
@@ -33,8 +32,6 @@ from waymark.llm.tables import narrow, stored, table
 
 # 1: the token must match, 0: it is ignored. Lossless for 13 matches at 75%.
 MASKS = ("111111", "11100111", "11011011", "110001111", "101110101", "110110101")
-# What the SQL seeds with; it misses overlaps that the masks above find.
-SQL_MASKS = ("1110110111", "1101111011", "1011001111")
 SPAN = 10  # tokens that an item must have
 MIN_MATCHED, MIN_PERCENT = 13, 75
 MATCH, MISMATCH = 1, -2
@@ -184,9 +181,10 @@ _TOKENS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPE
 
 def _window_sql(source: str, key: str, position: str) -> str:
     parts = []
-    for m, mask in enumerate(SQL_MASKS):
-        kept = ", ".join(f"t[i + {i}]" for i in range(SPAN) if mask[i] == "1")
-        parts.append(f"SELECT {key}, i AS {position}, concat_ws(' ', '{m}', {kept}) AS seed FROM (SELECT *, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM {source})")
+    for m, mask in enumerate(MASKS):
+        kept = ", ".join(f"t[i + {i}]" for i in range(len(mask)) if mask[i] == "1")
+        windows = f"SELECT *, unnest(range(1, len(t) - {len(mask) - 2})) AS i FROM {source} WHERE len(t) >= {SPAN}"
+        parts.append(f"SELECT {key}, i AS {position}, concat_ws(' ', '{m}', {kept}) AS seed FROM ({windows})")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -215,13 +213,29 @@ ends AS (
     FROM sums e JOIN starts x ON x.r = e.r AND x.item_id = e.item_id AND x.shift = e.shift AND x.i <= e.j
 ),
 best AS (
-    SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY r, item_id, shift ORDER BY score DESC, j, i DESC) = 1
+    SELECT *, true AS scored FROM ends QUALIFY row_number() OVER (PARTITION BY r, item_id, shift ORDER BY score DESC, j, i DESC) = 1
+),
+needs AS (SELECT item_id, least({MIN_MATCHED}, len(t)) AS needed FROM b),
+holding AS (SELECT x.* FROM best x JOIN needs USING (item_id) WHERE matched >= needed AND matched * 100 >= (j - i + 1) * {MIN_PERCENT}),
+widest AS (
+    SELECT doc_id, r, item_id, shift, j, i, matched FROM ends e ANTI JOIN holding h ON h.r = e.r AND h.item_id = e.item_id AND h.shift = e.shift
+    WHERE matched * 100 >= (j - i + 1) * {MIN_PERCENT}
+    QUALIFY row_number() OVER (PARTITION BY r, item_id, shift ORDER BY matched DESC, j, i) = 1
+),
+trimmed AS (
+    SELECT w.doc_id, w.r, w.item_id, w.shift, w.j, min(c.j) AS i, any_value(w.matched) AS matched
+    FROM widest w JOIN cells c ON c.r = w.r AND c.item_id = w.item_id AND c.shift = w.shift AND c.hit AND c.j BETWEEN w.i AND w.j
+    GROUP BY ALL
 ),
 long_enough AS (
-    SELECT *, j - i + 1 AS length FROM best WHERE matched >= {MIN_MATCHED} AND matched * 100 >= (j - i + 1) * {MIN_PERCENT}
+    SELECT doc_id, r, item_id, shift, i, j, matched, scored FROM holding
+    UNION ALL
+    SELECT doc_id, r, item_id, shift, i, j, matched, false FROM trimmed JOIN needs USING (item_id) WHERE matched >= needed
 )
 SELECT doc_id, item_id, CAST(i - 1 + shift AS BIGINT) AS doc_start, CAST(i - 1 AS BIGINT) AS item_start,
-    CAST(length AS BIGINT) AS length, CAST(matched AS BIGINT) AS matched
+    CAST(j - i + 1 AS BIGINT) AS length, CAST(matched AS BIGINT) AS matched
 FROM long_enough
-QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY score DESC, i + shift, i) = 1
+QUALIFY row_number() OVER (
+    PARTITION BY r, item_id ORDER BY scored DESC, {MATCH} * matched + {MISMATCH} * (j - i + 1 - matched) DESC, i + shift, i
+) = 1
 """

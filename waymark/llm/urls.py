@@ -13,8 +13,7 @@ without a rule. Without links between hosts that is the plain share of its own p
 
 Ranks are iterated until a step changes them by less than ``SETTLED`` in all. Each step changes
 them by 0.85 of the last change at most, so that takes at most 137 steps, and what is left
-unsettled is below 0.85 / 0.15 of the last change: 6e-9 of the seeds. ``SQL`` takes 15 steps, so
-it can judge otherwise where hosts are linked.
+unsettled is below 0.85 / 0.15 of the last change: 6e-9 of the seeds. ``SQL`` takes all 137.
 
 Host and path of a missing url, or one without ``://``, are empty; the empty host is judged like
 any other. Links are the absolute or scheme-relative targets of ``href``; relative links stay on
@@ -32,10 +31,10 @@ from pyspark.sql import functions as F
 from waymark.llm.tables import narrow, stored, table
 
 DAMPING, SETTLED = 0.85, 1e-9
-SQL_STEPS = 15  # after these the SQL stops, settled or not
+SQL_STEPS = 137  # all the steps that settling can take
 BLOCKED_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?i)href\s{0,9}=\s{0,9}[\"']?\s{0,9}(?:https?:)?//([^/?#\"'\s>]++)"
+_LINK = r"(?i)href\s*+=\s*+[\"']?\s*+(?:https?:)?//([^/?#\"'\s>]++)"
 
 
 class Rule(NamedTuple):
