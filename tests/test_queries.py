@@ -14,7 +14,7 @@ TABLES = (
 ).split()
 QUERIES = entry_point.queries()
 ORACLE = entry_point.oracle_sql()
-KINDS = {"BIGINT": T.LongType, "INTEGER": T.IntegerType, "DOUBLE": T.DoubleType, "VARCHAR": T.StringType}
+KINDS = {"BIGINT": T.LongType, "INTEGER": T.IntegerType, "DOUBLE": T.DoubleType, "VARCHAR": T.StringType, "BOOLEAN": T.BooleanType}
 
 
 def sort_key(row):

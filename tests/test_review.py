@@ -126,3 +126,20 @@ def test_neighbours_fill_new_gaps_and_are_saved(spark, tmp_path):
     for model in (fitted, load_pipeline(str(tmp_path / "model"))):
         found = {(r.id, r.part): (r.x, r.y) for r in model.transform(gaps).collect()}
         assert found == {(100, "a"): (5.0, 50.0), (100, "b"): (20.0, 200.0), (101, "a"): (1.0, 10.0)}
+
+
+def test_grid_beyond_the_lookup_bound(spark):
+    df = spark.createDataFrame([(i % 7, f"v{i % 11}", None if i % 5 else i) for i in range(77)], "a int, b string, c int")
+    small = {tuple(r) for r in level_grid(df, ["a", "b", "c"]).collect()}
+    large = [tuple(r) for r in level_grid(df, ["a", "b", "c"], limit=3).collect()]
+    assert set(large) == small and len(large) == 7 * 11 * 16
+
+
+def test_pivot_keys_are_bounded(spark, monkeypatch):
+    from waymark.operators import reshape
+
+    df = spark.createDataFrame([("u", f"k{i % 5}") for i in range(12)] + [("u", None)], "id string, key string")
+    assert {(r.key, r.n) for r in reshape.key_counts(df, "id", "key").collect()} == {("k0", 3), ("k1", 3), ("k2", 2), ("k3", 2), ("k4", 2), (None, 1)}
+    monkeypatch.setattr(reshape, "bounded_rows", lambda rows: None)
+    with pytest.raises(ValueError, match="long form"):
+        reshape.spread_counts(df, "id", "key")

@@ -259,20 +259,22 @@ def power_transform(column: Column, power: float) -> Column:
 
 
 def _best_powers(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, float]:
-    """Power with the largest profile likelihood, per column. Each value is evaluated at
-    every power of its grid inside one aggregate over (column, power)."""
+    """Power with the largest profile likelihood, per column: one aggregate with a variance per
+    column and power, so no row is repeated."""
     if not grids:
         return {}
-    logs = df.select(*[F.ln(F.col(c).cast("double")).alias(c) for c in grids]).unpivot([], list(grids), "column", "log")
-    powers = F.create_map(*[x for c, grid in grids.items() for x in (F.lit(c), F.lit([float(p) for p in grid]))])
-    each = logs.where(F.col("log").isNotNull()).select("column", "log", F.explode(powers[F.col("column")]).alias("power"))
-    moved = F.when(F.abs("power") < 1e-9, F.col("log")).otherwise((F.exp(F.col("log") * F.col("power")) - 1) / F.col("power"))
-    stats = each.groupBy("column", "power").agg(F.count(F.lit(1)).alias("n"), F.sum("log").alias("logs"), F.var_pop(moved).alias("spread"))
-    best: dict[str, tuple[float, float]] = {}
-    for r in stats.collect():  # one row per column and power
-        fit = -r["n"] / 2 * math.log(r["spread"]) + (r["power"] - 1) * r["logs"] if r["spread"] and r["spread"] > 0 else -math.inf
-        best[r["column"]] = max(best.get(r["column"], (-math.inf, 0.0)), (fit, r["power"]))
-    return {c: power for c, (_, power) in best.items()}
+    logs = df.select(*[F.ln(F.col(c).cast("double")).alias(c) for c in grids])
+
+    def measured(c: str, grid: list[float]) -> Column:
+        moved = [F.col(c) if abs(p) < 1e-9 else (F.exp(F.col(c) * F.lit(p)) - 1) / F.lit(p) for p in grid]
+        return F.struct(F.count(c).alias("n"), F.sum(c).alias("logs"), F.array(*[F.var_pop(m) for m in moved]).alias("spread")).alias(c)
+
+    stats = logs.agg(*[measured(c, grid) for c, grid in grids.items()]).first()
+    best = {}
+    for c, grid in grids.items():
+        fits = [-stats[c]["n"] / 2 * math.log(v) + (p - 1) * stats[c]["logs"] if v and v > 0 else -math.inf for p, v in zip(grid, stats[c]["spread"], strict=True)]
+        best[c] = max(zip(fits, grid, strict=True))[1]
+    return best
 
 
 class FittedBoxCox(FittedStep):

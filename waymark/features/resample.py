@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.cluster import as_lookup, checkpointed, seeded_hash, seeded_integer, seeded_uniform
+from waymark.cluster import as_lookup, checkpointed, seeded_hash, seeded_integer
 
 # Hash digits that form a bucket; 16**4 buckets per stratum.
 PREFIX_DIGITS = 4
@@ -240,8 +240,13 @@ def rose(df: DataFrame, label: str, ids: Sequence[str], numeric: Sequence[str],
     return joined.withColumns(noisy).drop("__n", *[f"__sd_{c}" for c in numeric])
 
 
+def _hash_share(ids: Sequence[str], seed: int) -> Column:
+    """A double in [0, 1) from the top 60 bits of a text hash of ids, which other engines have too."""
+    return F.conv(F.substring(seeded_hash(list(ids), seed), 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
+
+
 def _gauss(ids: Sequence[str], seed: int) -> Column:
     """Standard normal draw from the row id (Box-Muller on two seeded uniforms)."""
-    u = F.greatest(seeded_uniform(list(ids), seed), F.lit(1e-12))
-    v = seeded_uniform(list(ids), seed + 104729)
+    u = F.greatest(_hash_share(ids, seed), F.lit(1e-12))
+    v = _hash_share(ids, seed + 104729)
     return F.sqrt(-2 * F.ln(u)) * F.cos(v * 6.283185307179586)

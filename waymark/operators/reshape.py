@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.cluster import bounded_rows
 from waymark.operators.columns import numeric_columns
 
 
@@ -33,9 +34,12 @@ def column_names(prefix: str, values: Sequence[str | None]) -> list[str]:
 
 
 def key_values(df: DataFrame, *keys: str) -> dict[str, list[str | None]]:
-    """Distinct values of pivot keys, read in one pass; a missing value comes first."""
+    """Distinct values of pivot keys, read in one pass; a missing value comes first. They become
+    columns, so a key with more values than a lookup may have is refused: see ``key_counts``."""
     cells = df.select(*[F.col(k).cast("string").alias(k) for k in keys])
-    rows = cells.unpivot([], list(keys), "key", "value").distinct().collect()  # they become columns
+    rows = bounded_rows(cells.unpivot([], list(keys), "key", "value").distinct())
+    if rows is None:
+        raise ValueError(f"{', '.join(keys)}: too many values for one column per value; use the long form of key_counts")
     values = lambda k: [r["value"] for r in rows if r["key"] == k]
     return {k: sorted(values(k), key=lambda v: (v is not None, v or "")) for k in keys}
 
@@ -47,6 +51,12 @@ def count_columns(key: str, values: Sequence[str | None]) -> list[Column]:
     return [F.count_if(cell.eqNullSafe(F.lit(v).cast("string"))).alias(name) for v, name in named]
 
 
+def key_counts(df: DataFrame, id_column: str, key: str) -> DataFrame:
+    """Rows per id and key value in long form, ``id, key, n``: what ``spread_counts`` holds, for
+    any number of values, without the zeros."""
+    return df.groupBy(id_column, F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def spread_counts(df: DataFrame, id_column: str, key: str, values: Sequence[str] | None = None) -> DataFrame:
     """Rows per id and key value, one column per value, zero where there are none."""
     values = key_values(df, key)[key] if values is None else values

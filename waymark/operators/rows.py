@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.cluster import as_lookup, checkpointed
+from waymark.cluster import as_lookup, bounded_rows, checkpointed
+from waymark.operators.windows import running_totals
 
 
 def overwrite_where(df: DataFrame, column: str, condition: Column, value) -> DataFrame:
@@ -55,18 +57,34 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
 GRID_ROWS = 100_000
 
 
-def level_grid(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def numbered_levels(df: DataFrame, column: str, number: str, **limits) -> tuple[DataFrame, int]:
+    """The distinct values of a column, numbered in their order from zero, and how many there
+    are; missing values are left out. A short list becomes a broadcast table."""
+    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = bounded_rows(levels, **limits)
+    if rows is not None:
+        schema = T.StructType([T.StructField(number, T.LongType()), df.schema[column]])
+        values = sorted(r[0] for r in rows)
+        return F.broadcast(df.sparkSession.createDataFrame(list(enumerate(values)), schema)), len(values)
+    placed = checkpointed(running_totals(levels, [], [F.col(column)], {"__place": F.lit(1)}).select((F.col("__place") - 1).alias(number), column))
+    return placed, placed.count()
+
+
+def level_grid(df: DataFrame, columns: Sequence[str], **limits) -> DataFrame:
     """Every combination of the distinct values of the columns.
 
-    The values are read once, as one row with an array per column. The first column's values
-    are spread over as many tasks as the grid's size asks for before the others are added.
+    The grid is a range of numbers. A number holds one place in the list of each column's
+    values, and the values are joined to it by their place, so no list is ever in one row.
     """
-    levels = checkpointed(df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]))  # leaves missing values out
-    tasks = max(1, math.ceil(math.prod(levels.select(*[F.size(c) for c in columns]).first()) / GRID_ROWS))
-    out = levels.withColumn(columns[0], F.explode(columns[0]))
-    out = out.repartition(tasks) if tasks > 1 else out
-    for name in columns[1:]:
-        out = out.select(*[c for c in columns if c != name], F.explode(name).alias(name))
+    places = [f"__place_{i}" for i in range(len(columns))]
+    levels = [numbered_levels(df, c, p, **limits) for c, p in zip(columns, places, strict=True)]
+    size = math.prod(n for _, n in levels)
+    stride, out = 1, df.sparkSession.range(0, size, 1, max(1, math.ceil(size / GRID_ROWS))).withColumnRenamed("id", "__number")
+    for place, (_, n) in zip(places, levels, strict=True):
+        out = out.withColumn(place, F.expr(f"(__number div {stride}) % {max(n, 1)}"))
+        stride *= max(n, 1)
+    for place, (table, _) in zip(places, levels, strict=True):
+        out = out.join(table, place)
     return out.select(*columns)
 
 

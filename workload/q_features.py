@@ -151,7 +151,24 @@ def m16(spark, folder):
     return M.QuadraticComponents(k=2).fit(scaled).transform(scaled)
 
 
-@query("M17_box_cox")
+def _grid_step(n: int, low: str, high: str, width: int) -> str:
+    """The power with the best profile likelihood on ``width`` points between two expressions."""
+    power = f"CASE WHEN i = {width - 1} THEN {high} ELSE {low} + i * (({high} - ({low})) / {width - 1}) END"
+    before = f", best{n - 1}" if n else ""
+    return f"""grid{n} AS (SELECT {power} AS p FROM (SELECT unnest(range(0, {width})) AS i) AS g{before}),
+best{n} AS (SELECT p AS b FROM (
+  SELECT p, -count(*) / 2.0 * ln(var_pop(CASE WHEN abs(p) < 1e-9 THEN x ELSE (exp(x * p) - 1) / p END)) + (p - 1) * sum(x) AS fit FROM logs, grid{n} GROUP BY p) AS f
+  ORDER BY fit DESC, p DESC LIMIT 1)"""
+
+
+@query("M17_box_cox", sql(
+    """SELECT l_orderkey || '-' || l_linenumber AS id, CAST(l_quantity AS DOUBLE) AS l_quantity, l_discount, l_tax,
+  round(CASE WHEN abs(round(b, 6)) < 1e-9 THEN ln(l_extendedprice) ELSE (pow(l_extendedprice, round(b, 6)) - 1) / round(b, 6) END, 6) AS l_extendedprice FROM lineitem, best2""",
+    "logs AS (SELECT ln(CAST(l_extendedprice AS DOUBLE)) AS x FROM lineitem)",
+    _grid_step(0, "-2.0::DOUBLE", "2.0::DOUBLE", 9),
+    _grid_step(1, "b - 0.5", "b + 0.5", 21),
+    _grid_step(2, "b - 0.05", "b + 0.05", 21),
+))
 def m17(spark, folder):
     df = lines(spark, folder)
     return M.BoxCox(["l_extendedprice", "l_discount"]).fit(df).transform(df)
@@ -259,7 +276,27 @@ def b7(spark, folder):
     return B.down_sample(u, "country_destination", ["id"], SEED)
 
 
-@query("B10_rose")
+def _share(text: str, seed: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5({text} || ':{seed}'), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976.0"
+
+
+_COPY = "id || ':' || CAST(copy AS VARCHAR)"
+
+
+@query("B10_rose", sql(
+    f"""SELECT id, booked, copy, round(balance + sqrt(-2 * ln(greatest({_share(_COPY, SEED + 1)}, 1e-12))) * cos({_share(_COPY, SEED + 1 + 104729)} * 6.283185307179586)
+  * pow(4.0 / 3 / n, 1.0 / 5) * sd, 6) AS balance FROM copies JOIN moments USING (booked)""",
+    USERS,
+    "halves AS (SELECT id, CASE WHEN country_destination = 'NDF' THEN 'NO' ELSE 'YES' END AS booked, CAST(balance AS DOUBLE) AS balance FROM users)",
+    "moments AS (SELECT booked, count(*) AS n, coalesce(stddev_samp(balance), 0) AS sd FROM halves GROUP BY booked)",
+    """quotas AS (SELECT booked, n, CASE WHEN booked = 'NO' THEN (SELECT count(*) FROM halves) // 2 ELSE (SELECT count(*) FROM halves) - (SELECT count(*) FROM halves) // 2 END AS draws FROM moments)""",
+    f"""picks AS (
+  SELECT booked, CAST('0x' || substr(md5(booked || ':' || CAST(j AS VARCHAR) || ':{SEED}'), 1, 15) AS BIGINT) % n + 1 AS ordinal
+  FROM quotas, (SELECT unnest(range(0, (SELECT max(draws) FROM quotas))) AS j) AS d WHERE j < draws)""",
+    "drawn AS (SELECT booked, ordinal, count(*) AS copies FROM picks GROUP BY ALL)",
+    f"ordered AS (SELECT *, row_number() OVER (PARTITION BY booked ORDER BY {_h('id')}) AS ordinal FROM halves)",
+    "copies AS (SELECT id, booked, balance, unnest(range(1, copies + 1)) AS copy FROM ordered JOIN drawn USING (booked, ordinal))",
+))
 def b10(spark, folder):
     u = users(spark, folder).select("id", F.when(F.col("country_destination") == "NDF", "NO").otherwise("YES").alias("booked"), "balance")
     return B.rose(u, "booked", ["id"], ["balance"], SEED)
@@ -295,7 +332,7 @@ def m5(spark, folder):
     from waymark.features.impute import chained_matching
 
     u = users(spark, folder).select("id", "age", "balance", "first_affiliate_tracked")
-    return chained_matching(u, ["id"], ["age", "balance", "first_affiliate_tracked"], sweeps=2, seed=SEED)
+    return chained_matching(u, ["id"], ["age", "balance", "first_affiliate_tracked"], sweeps=5, seed=SEED)
 
 
 @query(

@@ -14,7 +14,7 @@ from waymark.models import tuning as G
 from waymark.models.penalty_path import logistic_path
 from waymark.operators.metrics import hit, ndcg, roc_auc
 from workload.adapters import USERS, users
-from workload.q_models import REGION_LABEL, SEED, prepared
+from workload.q_models import REGION_LABEL, SEED, held_out, prepared
 from workload.registry import query, sql
 
 MANY_LABEL = "destination"
@@ -163,12 +163,6 @@ def m3_gower(spark, folder):
 PENALTIES = tuple(0.2 * 0.5**i for i in range(10))
 
 
-def held_out(spark, folder, label, name="semi_minimal"):
-    """Prepared rows as four fifths to fit on and one fifth to score."""
-    marked = checkpointed(B.stratified_flag(prepared(spark, folder, label, name), [label], ["id"], 0.8, SEED, "kept"))
-    return marked.where("kept").drop("kept"), marked.where("NOT kept").drop("kept")
-
-
 @query("L6_penalty_path")
 def l6_path(spark, folder):
     """Coefficients of four classes at ten penalties, with the accuracy on held-out rows."""

@@ -240,7 +240,12 @@ def t1(spark, folder):
     return T.independence(aged(spark, folder), "age_range", "made_booking")
 
 
-@query("T1_p_value")
+@query("T1_p_value", sql(
+    """SELECT round(x2, 6) AS statistic, df, round(1 - sum(exp((df / 2.0 + k) * ln(x2 / 2) - x2 / 2 - lgamma(df / 2.0 + k + 1))), 6) AS p_value
+FROM tested, (SELECT unnest(range(0, 1000)) AS k) AS terms GROUP BY x2, df""",
+    USERS, CLEAN_AGE, CELLS,
+    "tested AS (SELECT sum((n - expected) * (n - expected) / expected) AS x2, (count(DISTINCT age_range) - 1) * (count(DISTINCT made_booking) - 1) AS df FROM cells)",
+))
 def t1_p(spark, folder):
     return T.independence_p_value(aged(spark, folder), "age_range", "made_booking")
 
