@@ -331,6 +331,26 @@ def test_search_with_few_rows_and_other_lengths(spark):
     assert maxscore.top_products(nothing, nothing).collect() == []
 
 
+def test_very_large_components(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-(2**42), 2**42) / 256 for _ in range(6)], "") for i in range(60)]
+    rows += [(100 + i, [float(rng.randrange(2**21)) for _ in range(6)], "") for i in range(40)]
+    whole = maxscore.integer_vectors(vectors(spark, [(i, [x / 2**12 for x in v], s) for i, v, s in rows]))
+    held = {r.vec_id: r.vector for r in whole.collect()}
+    found = maxscore.top_products(whole, whole.where("vec_id = 50")).collect()
+    scores = sorted((-sum(a * b for a, b in zip(held[50], v)), i) for i, v in held.items() if i != 50)
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(i, -s) for s, i in scores[:5]]
+    huge = spark.createDataFrame([(0, [2**36, 2**36]), (1, [2**26, 1]), (2, [-(2**27), 3])], "vec_id long, vector array<long>")
+    best = maxscore.top_products(huge, huge.where("vec_id = 1")).collect()
+    assert [(r.vec_id, r.score) for r in best] == [(0, 2**62 + 2**36), (2, -(2**53) + 3)]
+    for beyond in (spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 1])], "vec_id long, vector array<long>"), None):
+        with pytest.raises(Exception, match="does not fit a long"):
+            if beyond is None:
+                maxscore.integer_vectors(vectors(spark, [(0, [1e300, 1.0], ""), (1, [1e18, 1.0], "")])).collect()
+            else:
+                maxscore.top_products(beyond, beyond.where("vec_id = 0")).collect()
+
+
 def test_probing_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
     data = np.floor(rng.normal(size=(3000, 32)) * 40 * np.geomspace(1, 0.02, 32))

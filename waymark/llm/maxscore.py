@@ -14,8 +14,9 @@ task holds one shard and one block. Rows are queries for every fiftieth id.
 
 Vectors that are missing, or hold missing or non-finite components, take no part, nor do rows
 without an id. Of rows with one id the smallest vector counts. Shorter vectors count as padded
-with zeros. Ties go to the smaller id. Components must stay below 2^28 after scaling so that
-scores fit a long.
+with zeros. Ties go to the smaller id. Shards whose products could leave 62 bits are scored with
+Python's integers; a component beyond a long, or a score among the best that is, ends the query
+with an error that says so.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from waymark.llm.tables import stored, table
 SCALE, EVERY, TOP = 256, 50, 5
 SHARD_ROWS, BLOCK_ROWS = 16_384, 65_536
 PROBED = 8  # terms that are probed at once
-_EXACT = float(2**53)
+_EXACT, _LONG = float(2**53), float(2**62)
 
 
 class Shard:
@@ -96,12 +97,14 @@ def _best_in_shard(rows: pa.Table, queries: pa.Table) -> pa.Table:
         width = max(pc.max(pc.list_value_length(t["vector"])).as_py() for t in (rows, queries))
         vectors, wanted = _matrix(rows["vector"], width), _matrix(queries["vector"], width)
         largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * max(width, 1)
-        kind = np.float64 if largest < _EXACT else np.int64
+        kind = np.float64 if largest < _EXACT else np.int64 if largest < _LONG else object
         shard = Shard(np.asarray(rows["vec_id"]), vectors.astype(kind))
         for own, query in zip(np.asarray(queries["vec_id"]), wanted.astype(kind), strict=True):
             ids, found = shard.top(own, query, TOP)
             query_ids.append(np.full(len(ids), own))
             vec_ids.append(ids)
+            if len(found) and max(found.max(), -found.min()) >= 2**63:
+                raise OverflowError(f"a score of vector {own} does not fit a long")
             scores.append(found.astype(np.int64))
     join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
     return pa.table({"query_id": join(query_ids), "vec_id": join(vec_ids), "score": join(scores)})
@@ -110,7 +113,9 @@ def _best_in_shard(rows: pa.Table, queries: pa.Table) -> pa.Table:
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, vector`` of the rows that take part."""
     usable = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    beyond = F.raise_error(F.lit("a component times 256 does not fit a long")).cast("long")
+    whole = lambda x: F.floor(x.cast("double") * SCALE).cast("long")
+    scaled = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * SCALE) < float(2**63), whole(x)).otherwise(beyond))
     kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
     return kept.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(scaled).alias("vector"))
 
