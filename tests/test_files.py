@@ -107,3 +107,18 @@ def test_saved_step_keeps_its_levels(spark, tmp_path):
 
     again = FittedLumper.load(str(tmp_path / "step"))
     assert [r["c"] for r in again.transform(spark.createDataFrame([("q",)], "c string")).collect()] == ["Others"]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(500).select((F.col("id") % 50).alias("k"), F.col("id").alias("x"))
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+    P.write_bucketed(left, "bucketed_left", ["k"], 4)
+    P.write_bucketed(right, "bucketed_right", ["k"], 4)
+    try:
+        joined = spark.table("bucketed_left").hint("merge").join(spark.table("bucketed_right"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 500 and joined.where("y <> 2 * k").count() == 0
+    finally:
+        spark.sql("DROP TABLE bucketed_left")
+        spark.sql("DROP TABLE bucketed_right")

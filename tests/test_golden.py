@@ -179,3 +179,13 @@ def test_pair_ndcg_with_graded_relevance(spark):
     dcg = sum((2**rel - 1) / math.log2(rank + 1) for rank, rel in pairs)
     ideal = sum((2**rel - 1) / math.log2(i + 2) for i, rel in enumerate(sorted((r for _, r in pairs), reverse=True)))
     assert abs(values(E.pair_ndcg(df, "rank", "relevance"), "ndcg")[0] - dcg / ideal) < 1e-12
+
+
+def test_estimates_are_close_to_exact_values(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 10_007).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 5_000).alias("k"))
+    exact = A.quantiles(df, ["x"], [0.1, 0.5, 0.99]).first()
+    near = A.quantile_estimates(df, ["x"], [0.1, 0.5, 0.99]).first()
+    assert near["column"] == "x" and all(abs(near[c] - exact[c]) <= 10_007 * 0.001 for c in ("p10", "p50", "p99"))
+    distinct, estimate = df.agg(A.distinct_values("k"), A.distinct_values_estimate("k", 0.02)).first()
+    assert distinct == 5_001 and abs(estimate - distinct) < 0.1 * distinct
+    assert df.where("k IS NULL").agg(A.distinct_values_estimate("k")).first()[0] == 1

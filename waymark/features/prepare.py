@@ -429,7 +429,7 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def assembled(df: DataFrame, ids: Sequence[str], label: str, features: Sequence[str] | None = None) -> DataFrame:
     """Ids, label and one feature vector. A missing feature is NaN inside the vector, so
-    that no row is lost; tree splits sort it after every number."""
+    that no row is lost; ``boost`` gives it a bin of its own, MLlib's models refuse it."""
     names = [c for c in (features or df.columns) if c not in {*ids, label}]
     kept = [c for c in (*ids, label) if c in df.columns]
     numeric = df.select(*kept, *[F.col(c).cast("double").alias(c) for c in names])

@@ -141,7 +141,7 @@ def m14(spark, folder):
 def m15(spark, folder):
     df = lines(spark, folder)
     scaled = M.Normalize().fit(df).transform(df)
-    return M.RadialComponents(k=2, features=32).fit(scaled).transform(scaled)
+    return M.RadialComponents(k=2, features=128).fit(scaled).transform(scaled)
 
 
 @query("M16_quadratic_components")
