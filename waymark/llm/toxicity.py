@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm import text_arrays
-from waymark.llm.tables import fold, share_hash, table
+from waymark.llm.tables import fold, narrow, share_hash, stored, table
 
 SLOT_BITS = 20
 # Word beginnings of these many bytes are features too, for words with changing endings.
@@ -116,6 +116,23 @@ def _bounded_prior(prior: float, hits: np.ndarray, marginal: np.ndarray) -> floa
     return min(prior, marginal[strong].sum() / hits[strong].sum()) if hits.max(initial=0) > 0 else prior
 
 
+def nnpu_risk(z: np.ndarray, confirmed: np.ndarray, drawn: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk of scores ``z`` under the weights of confirmed and of drawn texts:
+    of missing toxic texts, and the corrected one of flagging clean texts, which counts as zero
+    where it is negative."""
+    missed = prior * (confirmed * np.logaddexp(0, -z)).sum()
+    as_negative = np.logaddexp(0, z)  # loss of calling a text clean
+    return missed, (drawn * as_negative).sum() - prior * (confirmed * as_negative).sum()
+
+
+def nnpu_slope(z: np.ndarray, confirmed: np.ndarray, drawn: np.ndarray, prior: float) -> np.ndarray:
+    """The slope by score: of the whole risk, or, where the corrected part is negative, the
+    negative slope of that part, which leads back to zero."""
+    p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
+    slope_negative = (drawn - prior * confirmed) * p
+    return -prior * confirmed * (1 - p) + slope_negative if nnpu_risk(z, confirmed, drawn, prior)[1] >= 0 else -slope_negative
+
+
 def fit_nnpu(
     features: pa.ListArray,
     positive: np.ndarray,
@@ -149,11 +166,7 @@ def fit_nnpu(
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         z = np.bincount(doc, theta[at], minlength=n) + theta[-1]
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
-        as_negative = np.logaddexp(0, z)  # loss of calling a text clean
-        corrected = (share[False] * as_negative).sum() - prior * (share[True] * as_negative).sum()
-        slope_negative = (share[False] - prior * share[True]) * p
-        slope = -prior * share[True] * (1 - p) + slope_negative if corrected >= 0 else -slope_negative
+        slope = nnpu_slope(z, share[True], share[False], prior)
         gradient = np.append(np.bincount(at, slope[doc], minlength=len(slots)) + l2 * theta[:-1], slope.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -172,12 +185,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, m
     n_toxic, n_clean = known.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1))).first()
     if not n_toxic:
         return ToxicityModel()
-    rows = docs.select("doc_id", "text").where(fold("doc_id", FOLDS) != 0).withColumn("__draw", share_hash([F.col("doc_id")], seed))
+    rows = docs.select("doc_id", "text").where(fold("doc_id", FOLDS) != 0)
     n_rows = rows.select("doc_id").count()
-    below, drawn = min(1.0, max_positive / n_toxic), F.col("__draw") < min(1.0, max_unlabelled / max(n_rows, 1))
-    sample = rows.where(drawn | (F.col("__draw") < below)).join(known.where(F.col("toxic") == 1), "doc_id", "left")
-    confirmed = F.col("toxic").isNotNull() & (F.col("__draw") < below)
-    sample = sample.select(confirmed.alias("toxic"), drawn.alias("drawn"), "text").where(F.col("toxic") | F.col("drawn"))
+    draw = share_hash([F.col("doc_id")], seed)
+    drawn = draw < min(1.0, max_unlabelled / max(n_rows, 1))
+    confirmed = known.where((F.col("toxic") == 1) & (draw < min(1.0, max_positive / n_toxic))).select("doc_id", F.lit(True).alias("toxic"))
+    # The ids of the confirmed sample are few, so the texts stay where they are.
+    sample = rows.join(narrow(stored(confirmed, "confirmed")), "doc_id", "left").withColumn("drawn", drawn)
+    sample = sample.select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "drawn", "text").where(F.col("toxic") | F.col("drawn"))
     found = sample.mapInArrow(_feature_rows, "toxic boolean, drawn boolean, slots array<int>").toArrow().combine_chunks()
     if not found.num_rows:
         return ToxicityModel()
