@@ -340,6 +340,53 @@ def test_op8_against_all_pairs(spark, folder, corpus):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_an_id_with_several_texts(documents):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a + " z"), (7, b + " z"), (8, c), (5, c), (5, c), (None, a + " y"), (None, "alone without any id or any copy at all")]
+    bridge = b.split()
+    rows += [(20, " ".join(bridge[:50])), (None, " ".join(bridge[:40])), (21, " ".join(bridge[:33]))]  # linked by the row without an id
+    docs = documents(rows)
+    found = minhash.near_duplicates(docs).collect()
+    expected = components_by_force(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter(
+        {(i, n, None if i is None and c is None else c): k for (i, n, c), k in expected.items()}
+    )
+    kept = minhash.without_near_duplicates(docs).collect()
+    texts = Counter(r.text for r in kept)
+    assert texts[a] == texts[b] == texts[c] == texts["alone without any id or any copy at all"] == 1 and len(kept) == 4
+
+
+def test_texts_just_below_are_not_paired(spark):
+    """Forty texts with one template and similarity below 0.75, and ten copies of one of them."""
+    rng = np.random.default_rng(5)
+    template = np.arange(160)
+    sets = [np.concatenate([template, rng.integers(10**6, 10**12, 31)]) for _ in range(40)]
+    near = [np.append(sets[0][1:], 10**13 + i) for i in range(10)]
+    rows = [(i, i, s.tolist()) for i, s in enumerate(sets)] + [(100 + i, 100, s.tolist()) for i, s in enumerate(near)]
+    members = spark.createDataFrame(rows, "id long, component long, shingles array<long>")
+    pairs = {(r.a, r.b) for r in minhash.rare_pairs(minhash.rare_first(members), members.select("id", "component")).collect()}
+    similar = lambda x, y: 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))
+    wanted = {(a, b) for a, i, x in rows for b, j, y in rows if a < b and i != j and similar(x, y)}
+    assert wanted == {(0, 100 + i) for i in range(10)} and wanted <= pairs
+    assert len(pairs) <= 20  # of 1180 pairs in different components
+
+
+def test_rare_pairs_are_all_similar_pairs(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        base = rng.randrange(5) * 1000
+        rows.append((i, i // 2, sorted({base + rng.randrange(60) for _ in range(rng.randrange(20, 200))})))
+    members = spark.createDataFrame(rows, "id long, component long, shingles array<long>")
+    pairs = {(r.a, r.b) for r in minhash.rare_pairs(minhash.rare_first(members), members.select("id", "component")).collect()}
+    for a, i, x in rows:
+        for b, j, y in rows:
+            if a < b and i != j and 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y)):
+                assert (a, b) in pairs
+    assert all(rows[a][1] != rows[b][1] for a, b in pairs)
+
+
 def test_one_document_of_a_group_stays(documents):
     docs = documents([*EDGE_TEXTS, (20, "the very same words"), (21, "the very same words")])
     kept = minhash.without_near_duplicates(docs)
@@ -368,6 +415,37 @@ def test_learned_words_decide(spark, documents):
             assert r.score < 0.5
 
 
+def test_slope_of_the_risk_by_finite_differences():
+    rng = np.random.default_rng(3)
+    confirmed, drawn = (rng.random(40) < 0.4).astype(float), (rng.random(40) < 0.7).astype(float)
+    confirmed, drawn = confirmed / confirmed.sum(), drawn / drawn.sum()
+    seen = set()
+    for prior, shift in ((0.1, 0.0), (0.3, -1.0), (0.6, 2.0), (0.9, 3.0), (0.95, -3.0)):
+        z = rng.normal(size=40) + shift * np.sign(confirmed - drawn)
+        clipped = toxicity.nnpu_risk(z, confirmed, drawn, prior)[1] < 0
+        seen.add(clipped)
+        found = toxicity.nnpu_slope(z, confirmed, drawn, prior)
+        for i in range(40):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = z.copy()
+                moved[i] += step
+                missed, corrected = toxicity.nnpu_risk(moved, confirmed, drawn, prior)
+                ends.append(-corrected if clipped else missed + corrected)
+            assert math.isclose(found[i], (ends[0] - ends[1]) / 2e-6, abs_tol=1e-6)
+    assert seen == {False, True}
+
+
+def test_few_confirmed_texts_are_all_used(spark, documents):
+    rng = random.Random(2)
+    plain = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(30))
+    docs = documents([(i, f"{plain()} vileness" if i % 10 == 0 else plain()) for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, max_unlabelled=200)
+    held = [r for r in toxicity.with_toxicity(docs, model).collect() if r.doc_id is not None]
+    assert all((r.score >= 0.5) == (r.doc_id % 10 == 0) for r in held)
+
+
 def test_without_labels_nothing_is_toxic(spark, documents):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = documents(EDGE_TEXTS)
