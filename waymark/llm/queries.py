@@ -24,9 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_search": lexical_search.op13_search,
 }
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_mixing": mixing.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op7_urls": urls.SQL,
+    "op8_minhash": minhash.SQL,
     "op9_maxscore": maxscore.SQL,
     "op11_filter_audit": filter_audit.SQL,
     "op12_phrases": phrase_automata.SQL,

@@ -11,10 +11,13 @@ common prefix of that length.
 Rounds over whole documents would be as many as the longest document has bytes. So the texts
 are first cut at anchors: the anchor of a string of ``LENGTH`` bytes is its smallest hashed
 19-gram, equal strings have equal anchors, and consecutive strings with one anchor form a piece
-of at most 81 bytes. Only pieces whose anchor occurs in more than one document are kept. An
-index is built for each range of anchors; the columns of its strings are its rounds, and its
-files are the rows that Spark shuffles and stores between them. An anchor with very many pieces
-(a line that is everywhere) is cut into its single strings, which spread by their own hash.
+of at most 81 bytes. Only pieces whose anchor occurs in more than one document are kept. Pieces
+go to ranges of their mixed anchors, and a task indexes the strings of its range some anchors at a
+time, in memory: the columns of the strings are the rounds. There are no external files; between
+the steps Spark shuffles whole strings and answers, not rounds. An anchor with very many pieces
+(a line that is everywhere) is cut into its single strings, which spread by their own hash. A
+string that is the only one of its anchor needs no index. Names of anchors and strings are 64-bit
+hashes.
 
 Documents are dealt to units (see ``units``): a unit asks which anchors are shared, sends its
 distinct pieces to the ranges, and learns for each piece which of its strings also start in a
@@ -41,7 +44,8 @@ LENGTH, GRAM = 50, 19
 STARTS = LENGTH - GRAM + 1  # grams of a string, and the most strings of one piece
 HOT = 10_000  # pieces of an anchor in the corpus
 UNIT_BYTES = 6 << 20  # text of a unit; the arrays of a task are some forty times as large
-BATCH = 2_500  # pieces that are indexed together, so that the arrays of a round stay in cache
+CUT_BYTES = 1 << 16  # bytes that are hashed together, so that the arrays stay in cache
+BATCH = 1_000  # pieces that are indexed together, so that the arrays of a round stay in cache
 _SALT = np.uint64(0x8F3A6C1D5B79E247)
 
 
@@ -147,7 +151,7 @@ class Pieces:
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         row = 0
         while row < len(self.ids):
-            stop = max(int(np.searchsorted(self.offsets, self.offsets[row] + text_arrays.PIECE_BYTES, side="right")) - 1, row + 1)
+            stop = max(int(np.searchsorted(self.offsets, self.offsets[row] + CUT_BYTES, side="right")) - 1, row + 1)
             stop = min(stop, len(self.ids))
             for part, values in zip(parts, self._cut(row, stop, known), strict=True):
                 part.append(values)
@@ -176,7 +180,8 @@ class Pieces:
         begin = start[first]
         last = start[np.append(first[1:] - 1, len(start) - 1)] if len(start) else begin
         name = prefix.of(begin, last + LENGTH)
-        return least[first], name, begin + base, last + base, doc[first] + row
+        # The least of many hashes is a small one; mixed again, anchors fill all ranges alike.
+        return text_arrays.mixed(least[first] ^ _SALT), name, begin + base, last + base, doc[first] + row
 
     def strings(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and piece of every string of the given pieces."""
@@ -308,7 +313,7 @@ def _names(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarr
     """Hashes of consecutive strings, some bytes at a time."""
     out, begin = np.zeros(len(starts), np.uint64), 0
     while begin < len(starts):
-        end = max(int(np.searchsorted(starts, starts[begin] + text_arrays.PIECE_BYTES)), begin + 1)
+        end = max(int(np.searchsorted(starts, starts[begin] + CUT_BYTES)), begin + 1)
         stop = starts[end - 1] + length[end - 1]
         some = starts[begin:end] - starts[begin]
         out[begin:end] = text_arrays.PrefixHash(data[starts[begin] : stop]).of(some, some + length[begin:end])
@@ -423,3 +428,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256")
     )
+
+
+SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT r, doc_id, substr(h, 2 * p + 1, 2) AS b, p, CASE WHEN 2 * p + {2 * LENGTH} <= len(h) THEN substr(h, 2 * p + 1, {2 * LENGTH}) END AS s
+    FROM (SELECT *, unnest(range(0, len(h) // 2)) AS p FROM docs)),
+starts AS (SELECT r, b, p, s IS NOT NULL AND coalesce(min(doc_id) OVER (PARTITION BY md5_number(s)) < doc_id, false) AS found FROM bytes),
+covered AS (SELECT r, b, p, bool_or(found) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM starts),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM covered),
+sums AS (
+    SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), '') AS kept
+    FROM edges GROUP BY r
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (r)
+"""
