@@ -143,3 +143,12 @@ def test_pivot_keys_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(reshape, "bounded_rows", lambda rows: None)
     with pytest.raises(ValueError, match="long form"):
         reshape.spread_counts(df, "id", "key")
+
+
+def test_small_ranges_need_few_tasks(spark):
+    rows = spark.range(5000).select(F.struct(F.pmod(F.col("id") * 7919, F.lit(5000)).alias("o")).alias("__order"))
+    ranged, ranges = ordered_ranges(rows, 10, task_rows=2000)
+    assert ranges == 500 and ranged.rdd.getNumPartitions() == 3
+    found = ranged.groupBy("__range").agg(F.min("__order.o").alias("low"), F.max("__order.o").alias("high"), F.count("*").alias("n")).orderBy("__range").collect()
+    assert sum(r.n for r in found) == 5000 and max(r.n for r in found) <= 10 and len(found) <= 503
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))

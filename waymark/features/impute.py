@@ -66,7 +66,7 @@ def nearest_on_line(gaps: DataFrame, donors: DataFrame, ids: Sequence[str], at:
             F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
             F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
         )
-        seen = seen.join(F.broadcast(carried), "__range").withColumns({"__low": F.coalesce("__low", "__before"), "__high": F.coalesce("__high", "__after")})
+        seen = seen.join(carried, "__range").withColumns({"__low": F.coalesce("__low", "__before"), "__high": F.coalesce("__high", "__after")})
     below, above = F.col("__at") - F.col("__low.at"), F.col("__high.at") - F.col("__at")
     lower = F.col("__high").isNull() | (F.col("__low").isNotNull() & (below <= above))
     return seen.select("__ids.*", F.when(lower, F.col("__low.value")).otherwise(F.col("__high.value")).alias(value))

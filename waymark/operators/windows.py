@@ -31,14 +31,25 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str = "pcn
     return null_safe_join(df, totals, list(keys)).withColumn(out, F.col(value) / F.col("__total")).drop("__total")
 
 
-def ordered_ranges(base: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
-    """``base`` with ``__range``, the index of its value range in the order ``__order``, and
-    the number of ranges. Spark cuts the ranges from a sample, so they hold similar row counts;
-    the result is written once, because another sample would cut elsewhere."""
-    ranges = max(1, -(-base.count() // range_rows))
+def ordered_ranges(base: DataFrame, range_rows: int = RANGE_ROWS, task_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """``base`` with ``__range``, a number that rises with the value ranges in the order
+    ``__order``, and the number of ranges. Spark cuts the table into tasks from a sample, so they
+    hold similar row counts; ranges smaller than ``task_rows`` are cut from the sorted rows of a
+    task, so the number of tasks, each of which reports to the driver, does not depend on
+    ``range_rows``. The result is written once, because another sample would cut elsewhere."""
+    n = base.count()
+    ranges = max(1, -(-n // range_rows))
     if ranges == 1:
         return base.withColumn("__range", F.lit(0)), 1
-    return checkpointed(base.repartitionByRange(ranges, "__order").withColumn("__range", F.spark_partition_id())), ranges
+    tasks = -(-n // max(range_rows, task_rows))
+    dealt = base.repartitionByRange(tasks, "__order")
+    if tasks == ranges:
+        return checkpointed(dealt.withColumn("__range", F.spark_partition_id())), ranges
+    # The number has the task in its upper bits and counts the task's rows in the lower 33.
+    number, most = F.monotonically_increasing_id(), 2**33
+    cut = dealt.sortWithinPartitions("__order").withColumn("__range", number)
+    task, place = F.shiftright("__range", 33), F.col("__range").bitwiseAND(F.lit(most - 1))
+    return checkpointed(cut.withColumn("__range", task * most + F.floor(place / range_rows))), ranges
 
 
 def running_totals(
