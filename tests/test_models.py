@@ -170,3 +170,27 @@ def test_grid_over_folds(spark):
     assert good == [31.0] * 3
     assert out.where("config = 1 AND metric = 'failed'").count() == 3
     assert G.best_settings(out, [{"k": 1}, {"k": 9}], "size") == {"k": 1}
+
+
+def test_random_features_stay_in_the_tasks(spark, monkeypatch):
+    """Components of random features equal those of the whole feature matrix, which no task sends."""
+    draw = np.random.default_rng(4)
+    values = draw.normal(size=(300, 3)) + 5
+    df = spark.createDataFrame([(f"r{i}", *map(float, v)) for i, v in enumerate(values)], "id string, u double, v double, w double").repartition(5)
+
+    def refused(*a, **k):
+        raise AssertionError("features were sent")
+
+    monkeypatch.setattr(M, "array_to_vector", refused)
+    for step in (M.RadialComponents(["u", "v", "w"], k=2, features=24), M.SketchedComponents(["u", "v", "w"], k=2, degree=2, width=32, scale=0.1)):
+        fitted = step.fit(df)
+        z = M._features(fitted.values["map"])(values)
+        assert np.allclose(fitted.values["means"], z.mean(axis=0), atol=1e-9)
+        axes, variances, _ = np.linalg.svd(np.cov(z.T))
+        assert np.allclose(fitted.values["explained"], (variances / variances.sum())[:2], atol=1e-9)
+        out = {r["id"]: r for r in fitted.transform(df).collect()}
+        expected = (z - z.mean(axis=0)) @ axes[:, :2]
+        got = np.array([[out[f"r{i}"][f"{fitted.values['prefix']}{j}"] for j in (1, 2)] for i in range(300)])
+        assert np.allclose(np.abs(got), np.abs(expected), atol=1e-7)
+        gap = fitted.transform(df.limit(1).withColumn("u", F.lit(None).cast("double"))).first()
+        assert gap[f"{fitted.values['prefix']}1"] is None

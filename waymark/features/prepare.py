@@ -10,10 +10,11 @@ import functools
 import itertools
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -294,24 +295,64 @@ def _weighted(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return out
 
 
-def _batch_map(spec: dict, project: tuple[list, list] | None = None):
-    """Random cosine or sketched features of a batch of rows, or their projection."""
+def _features(spec: dict):
+    """Random cosine or sketched features of a matrix of rows."""
     if spec["kind"] == "waves":
         weights, shifts = np.array(spec["weights"]), np.array(spec["shifts"])
-        features = lambda x: np.sqrt(2.0 / len(shifts)) * np.cos(x @ weights.T + shifts)
-    else:
-        features = TensorSketch(**{k: v for k, v in spec.items() if k != "kind"})
+        return lambda x: np.sqrt(2.0 / len(shifts)) * np.cos(x @ weights.T + shifts)
+    return TensorSketch(**{k: v for k, v in spec.items() if k != "kind"})
 
-    @F.pandas_udf("array<double>")
-    def mapped(rows: pd.Series) -> pd.Series:
+
+def _batch_projection(spec: dict, means: list, weights: list, names: Sequence[str]):
+    """Projection of the random features of a batch of rows, given as a struct of numbers."""
+    features = _features(spec)
+
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+    def projected(rows: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.Series([], dtype=object)
-        z = features(np.stack([np.asarray(r, dtype=float) for r in rows]))
-        if project is not None:
-            z = (z - np.array(project[0])) @ np.array(project[1]).T
-        return pd.Series(list(z))
+            return pd.DataFrame({n: np.zeros(0) for n in names})
+        z = (features(rows.to_numpy(dtype=float)) - np.array(means)) @ np.array(weights).T
+        return pd.DataFrame(z, columns=list(names))
+
+    return projected
+
+
+def _batch_moments(rows: DataFrame, spec: dict) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and covariances of the random features of ``rows``.
 
-    return mapped
+    The features never leave the tasks: a task adds up their sums and products, and the tasks'
+    sums meet by matrix row. Sums are taken around the mean of a few rows, which keeps
+    their digits and changes nothing else.
+    """
+    features, names = _features(spec), rows.columns
+    few = np.array([list(r) for r in rows.limit(1000).collect()], dtype=float).reshape(-1, len(names))
+    if not len(few):
+        return 0, np.zeros(0), np.zeros(0)
+    around = features(few).mean(axis=0)
+    width = len(around)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                z = features(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])) - around
+                n, total = n + len(z), total + z.sum(axis=0)
+                products += z.T @ z
+        if n:
+            values = pa.array(np.concatenate([[float(n)], total, products.ravel()]))
+            ends = np.concatenate([[0], 1 + width + width * np.arange(width + 1)])  # the first list: count and sums
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["part", "sums"])
+
+    def added(found: pa.Table) -> pa.Table:
+        # Sorted first, so that the sum does not depend on the order of the tasks.
+        total = np.sort(np.stack(found["sums"].to_numpy()), axis=0).sum(axis=0)
+        return pa.table({"part": found["part"].slice(0, 1), "sums": [total.tolist()]})
+
+    schema = "part int, sums array<double>"
+    found = {r["part"]: np.array(r["sums"]) for r in rows.mapInArrow(sums, schema).groupBy("part").applyInArrow(added, schema).collect()}
+    n, shift = int(found[0][0]), found[0][1:] / found[0][0]
+    products = np.stack([found[i + 1] for i in range(width)])
+    return n, around + shift, (products - n * np.outer(shift, shift)) / max(n - 1, 1)
 
 
 def _square_map(x: Sequence[Column]) -> list[Column]:
@@ -340,6 +381,8 @@ class _Projection(Step):
         columns = self.numeric(df)
         spec = self._map(columns)
         complete = df.select(*columns).dropna("any")
+        if spec["kind"] in _IN_BATCHES:
+            return self._fit_batches(complete, columns, spec)
         vectors = complete.select(array_to_vector(_mapped(columns, spec)).alias("v"))
         mean = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
         if mean is None or len(mean) == 0:
@@ -347,7 +390,19 @@ class _Projection(Step):
         means = mean.toArray().tolist()
         k = min(self.values["k"], len(means)) if self.values["variance"] is None else len(means)
         model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-        weights, explained = model.pc.toArray(), model.explainedVariance.toArray()
+        return self._fitted(columns, spec, means, model.pc.toArray(), model.explainedVariance.toArray())
+
+    def _fit_batches(self, complete, columns, spec):
+        n, means, covariance = _batch_moments(complete.select(*[F.col(c).cast("double").alias(c) for c in columns]), spec)
+        if not n:
+            raise ValueError("no complete row to fit the projection on")
+        if n < 2:
+            raise ValueError("no covariance of a single complete row")
+        axes, variances, _ = np.linalg.svd(covariance)
+        k = min(self.values["k"], len(means)) if self.values["variance"] is None else len(means)
+        return self._fitted(columns, spec, means.tolist(), axes[:, :k], (variances / (variances.sum() or 1.0))[:k])
+
+    def _fitted(self, columns, spec, means, weights, explained):
         if self.values["variance"] is not None:
             weights = weights[:, : int(np.searchsorted(np.cumsum(explained), self.values["variance"])) + 1]
         return FittedProjection(columns=columns, map=spec, means=means, weights=weights.T.tolist(), prefix=self.prefix, explained=explained.tolist())
@@ -355,8 +410,6 @@ class _Projection(Step):
 
 def _mapped(columns: Sequence[str], spec: dict) -> Column:
     x = [F.col(c).cast("double") for c in columns]
-    if spec["kind"] in _IN_BATCHES:
-        return _batch_map(spec)(F.array(*x))
     return F.array(*(_square_map(x) if spec["kind"] == "square" else x))
 
 
@@ -367,10 +420,11 @@ class FittedProjection(FittedStep):
         names = [f"{v['prefix']}{i + 1}" for i in range(len(v["weights"]))]
         x = [F.col(c).cast("double") for c in v["columns"]]
         if v["map"]["kind"] in _IN_BATCHES:
-            complete = F.when(~functools.reduce(operator.or_, [c.isNull() for c in x]), F.array(*x))
-            filled = F.coalesce(complete, F.lit([0.0] * len(x)))
-            out = df.withColumn("__p", F.when(complete.isNotNull(), _batch_map(v["map"], (v["means"], v["weights"]))(filled)))
-            return out.select(*kept, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
+            complete = ~functools.reduce(operator.or_, [c.isNull() for c in x])
+            filled = F.struct(*[F.coalesce(c, F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(x)])
+            run = _batch_projection(v["map"], v["means"], v["weights"], names)
+            out = df.withColumn("__p", F.when(complete, run(filled)))
+            return out.select(*kept, *[F.col("__p")[n].alias(n) for n in names])
         cells = _square_map(x) if v["map"]["kind"] == "square" else x
         parts = []
         for name, weights in zip(names, v["weights"]):
