@@ -194,3 +194,31 @@ def test_random_features_stay_in_the_tasks(spark, monkeypatch):
         assert np.allclose(np.abs(got), np.abs(expected), atol=1e-7)
         gap = fitted.transform(df.limit(1).withColumn("u", F.lit(None).cast("double"))).first()
         assert gap[f"{fitted.values['prefix']}1"] is None
+
+
+def test_forest_keeps_the_nodes_of_rows_between_levels(spark):
+    draw = np.random.default_rng(7)
+    rows = [(f"r{i}", "ab"[int(x > 0)], float(x), float(y)) for i, (x, y) in enumerate(draw.normal(size=(200, 2)))]
+    frame = M.assembled(spark.createDataFrame(rows, "id string, y string, u double, v double"), ["id"], "y")
+    kept = L.forest(frame, "y", trees=5, depth=4, seed=3)
+    assert kept.model.getCacheNodeIds()
+    walked = L.forest(frame, "y", trees=5, depth=4, seed=3, cacheNodeIds=False)
+    assert kept.model.toDebugString.split("\n")[1:] == walked.model.toDebugString.split("\n")[1:]
+
+
+def test_fit_and_score_reads_its_source_once(spark, tmp_path):
+    from waymark.plans.recipes import fit_and_score, recipe
+
+    draw = np.random.default_rng(8)
+    rows = [(f"r{i}", "ab"[int(x > 0)], float(x), "xyz"[i % 3]) for i, x in enumerate(draw.normal(size=120))]
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "id string, y string, u double, c string").withColumn("u", counted.asNondeterministic()("u"))
+    done = fit_and_score(df, recipe("semi_minimal", label="y", drop=()), lambda d, label: L.forest(d, label, trees=3, depth=2, seed=1))
+    assert done.metrics.count() >= 1 and done.confusion.count() == 4
+    assert reads.value == 120

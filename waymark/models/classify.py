@@ -114,8 +114,9 @@ def _single(df: DataFrame, label: str, learner, declared) -> FittedClassifier:
 
 
 def forest(df: DataFrame, label: str, trees: int = 100, depth: int = 8, seed: int = 1, weight: str | None = None, declared=None, **settings) -> FittedClassifier:
-    """Random forest with gini importance."""
-    learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **settings)
+    """Random forest with gini importance. The node of every row is kept between the levels, so
+    that a level does not walk all trees from their roots."""
+    learner = RandomForestClassifier(**{"numTrees": trees, "maxDepth": depth, "seed": seed, "cacheNodeIds": True, **settings})
     if weight:
         learner = learner.setWeightCol(weight)
     return _single(df, label, learner, declared)

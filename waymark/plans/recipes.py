@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from waymark.cluster import checkpointed
 from waymark.features import levels as V
 from waymark.features import prepare as M
 from waymark.features.prepare import assembled
@@ -42,12 +42,9 @@ class Recipe:
         first = self.steps[0] if self.steps else None
         if isinstance(first, M.OmitIncomplete):
             rows = first.fit(train).training_rows(train)
-        # Every step reads the training rows once; they are computed once and spill to disk.
-        kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = Pipeline(stages=self.steps).fit(kept)
-        finally:
-            kept.unpersist()
+        # Every step reads the training rows, and so does what is made of them: computed once.
+        rows = checkpointed(rows)
+        model = Pipeline(stages=self.steps).fit(rows)
         out = model.transform(rows)
         if self.balance is not None:
             out = self.balance(out, self.ids, self.label)
@@ -152,10 +149,11 @@ def fit_and_score(
     Rows of the test part never influence the preparation or the model.
     """
     ids, label = preparation.ids, preparation.label
-    train, test = stratified_split(data, [label], ids, p, seed)
+    # The split, the fit and the scores read the rows many times; they are computed once.
+    train, test = stratified_split(checkpointed(data), [label], ids, p, seed)
     prepared = preparation.fit(train)
     names = [c for c in prepared.train.columns if c not in {*ids, label, "copy"}]
-    known = assembled(prepared.train, ids, label, names)
+    known = checkpointed(assembled(prepared.train, ids, label, names))
     classifier = fit(known, label)
     parts = {"train": prepared.model.transform(train), "test": prepared.model.transform(test)}
     scored = None

@@ -238,7 +238,7 @@ def _forest_by_weight(settings, train, weight):
 
 
 def _two_class_scores(fitted, test):
-    found = fitted.predictions(test, "booked")
+    found = checkpointed(fitted.predictions(test, "booked").select("prob", "truth"))  # scored once, read twice
     share = found.agg(F.avg(hit(F.col("prob"), F.col("truth")))).first()[0]
     area = roc_auc(found.select(F.col("prob")[1].alias("score"), "truth"), "score", F.col("truth") == 1).first()[0]
     return {"accuracy": share, "roc_auc": area}

@@ -187,7 +187,8 @@ def grid_results(spark, folder, grid):
         return L.forest(train, "booked", seed=SEED, **settings)
 
     def score(fitted, test):
-        found = fitted.predictions(test, "booked")
+        # Scored once; the shares and the curve read the scores.
+        found = checkpointed(fitted.predictions(test, "booked").select("prob", "truth"))
         shares = found.agg(F.avg(hit(F.col("prob"), F.col("truth"))), F.avg(first_class_hit(F.col("prob"), F.col("truth")))).first()
         area = roc_auc(found.select(F.col("prob")[1].alias("score"), "truth"), "score", F.col("truth") == 1).first()[0]
         return {"accuracy": shares[0], "binary_accuracy": shares[1], "roc_auc": area}
