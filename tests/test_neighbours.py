@@ -1,6 +1,7 @@
 """Neighbour search and its users against brute force on small fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,40 @@ def test_chained_matching_uses_observed_values(spark):
     for r in df.collect():
         for c in ("x", "y", "side"):
             assert out[r["id"]][c] == r[c] if r[c] is not None else out[r["id"]][c] in seen[c]
+
+
+def test_a_tile_compares_only_near_boxes(spark, monkeypatch):
+    from waymark.features import neighbours as N
+
+    draw = np.random.default_rng(11)
+    points = np.concatenate([draw.normal(size=(3000, 2)), draw.integers(0, 3, (200, 2)).astype(float)])
+    ids = [f"r{i:05d}" for i in draw.permutation(len(points))]
+    left = pd.DataFrame({"grp": "", "key": ids, "vector": list(points), "far": np.inf})
+    right = pd.DataFrame({"nid": ids, "nkey": ids, "vector": list(points)})
+    for metric in ("euclidean", "city"):
+        whole = N._distances(points, points, metric)
+        place = np.argsort(np.argsort(ids))
+        wanted = {i: [ids[j] for j in np.lexsort((place, row))[:4]] for i, row in zip(ids, whole, strict=True)}
+        compared, plain = [0], N._distances
+        monkeypatch.setattr(N, "_distances", lambda a, b, m="euclidean": compared.__setitem__(0, compared[0] + len(a) * len(b)) or plain(a, b, m))  # noqa: B023
+        out = N._tile_search(4, metric)(left, right)
+        monkeypatch.setattr(N, "_distances", plain)
+        assert out.groupby("key")["nid"].agg(list).to_dict() == wanted
+        assert compared[0] < 0.2 * len(points) ** 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "city"])
+def test_few_rows_are_sent_to_other_cells(spark, monkeypatch, metric):
+    from waymark.features import neighbours as N
+
+    draw = np.random.default_rng(12)
+    points = {f"r{i:04d}": draw.uniform(0, 10, 2).round(2).tolist() for i in range(1500)}
+    df = spark.createDataFrame(list(points.items()), "id string, vector array<double>")
+    searched, sent = N._searched, []
+    monkeypatch.setattr(N, "_searched", lambda q, b, *rest: sent.append((q.count(), b.count())) or searched(q, b, *rest))
+    out = found(nearest(df, df, 3, pivots=20, metric=metric))
+    whole = N._distances(np.array(list(points.values())), np.array(list(points.values())), metric)
+    names = list(points)
+    for i, row in enumerate(whole):
+        assert out[names[i]] == [names[j] for j in np.lexsort((np.arange(len(names)), row)) if j != i][:3]
+    assert sent[1][0] <= 1500 and all(m == 1500 for _, m in sent)

@@ -5,12 +5,15 @@ The join follows the pivot scheme of k-nearest-neighbour joins on shared-nothing
 1. Equal vectors are collapsed first. A vector keeps its k+1 smallest ids, which is all any
    row can ask of a group of copies, so a large group of copies costs one search.
 2. Pivots split the space into cells; their number is a power of the number of candidates.
-   Cell radii and the k smallest pivot distances per cell bound how far the k-th neighbour
-   of a cell's rows can be.
-3. A candidate is sent to every cell it may matter to by the triangle inequality, never
-   fewer, so the result is exact.
-4. A cell is cut into tiles of limited size in both directions. A task compares one tile
-   and emits at most k rows per query; tiles are merged by a ranked window.
+   Every candidate stays in the one cell of its nearest pivot.
+3. A query is searched in its own cell. The k-th distance found there, or a bound from the
+   pivot distances of the candidates if that cell holds fewer, says which other cells can
+   still hold a neighbour, by cell radii and the planes between pivots. The query goes to
+   those and no others, so the result is exact and few rows travel.
+4. A cell is cut into tiles of limited size in both directions. A tile orders both sides by
+   median cuts into small boxes and compares a box of queries with the boxes of candidates
+   that are near enough only. It emits at most k rows per query; tiles are merged by a
+   ranked window.
 
 Driver and closures hold only pivots and per-cell bounds (pivots times classes).
 """
@@ -33,9 +36,10 @@ from waymark.features.resample import class_sizes, draws_with_replacement, numbe
 from waymark.operators.columns import nominal_columns
 
 # Cells grow in number with this power of the candidates, without a ceiling.
-FEWEST_PIVOTS, PIVOT_POWER = 16, 0.4
-TILE_QUERIES = 1024
-TILE_CANDIDATES = 8192
+FEWEST_PIVOTS, PIVOT_POWER = 16, 1 / 3
+TILE_QUERIES = 16384
+TILE_CANDIDATES = 65536
+BOX_ROWS = 64
 _SLACK = 1e-9
 
 
@@ -64,37 +68,71 @@ def _cell_column(pivots: np.ndarray, metric: str):
     return place
 
 
-def _route_column(pivots: np.ndarray, reach: dict[str, np.ndarray], metric: str):
-    """Cells a candidate must be sent to, per class."""
+def _far_column(bounds: dict[str, np.ndarray]):
+    """How far the neighbours of a query can be: no farther than the k-th row found so far."""
+
+    @F.pandas_udf("double")
+    def far(groups: pd.Series, cells: pd.Series, d: pd.Series, kth: pd.Series) -> pd.Series:
+        known = np.array([bounds[g][c] if g in bounds else math.inf for g, c in zip(groups, cells, strict=True)], dtype=float)
+        return pd.Series(np.fmin(kth.to_numpy(dtype=float, na_value=math.inf), d.to_numpy(dtype=float) + known) * (1 + _SLACK) + _SLACK)
+
+    return far
+
+
+def _route_column(pivots: np.ndarray, radii: dict[str, np.ndarray], metric: str):
+    """The cells besides its own that hold candidates of its class within ``far`` of a query."""
+    between = _distances(pivots, pivots, metric)
 
     @F.pandas_udf("array<int>")
-    def route(vectors: pd.Series, groups: pd.Series) -> pd.Series:
-        away = _distances(_matrix(vectors), pivots, metric)
-        none = np.full(len(pivots), -1.0)
-        limits = np.stack([reach.get(g, none) for g in groups])
-        return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in away <= limits])
+    def route(vectors: pd.Series, groups: pd.Series, cells: pd.Series, d: pd.Series, far: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        away, own, cell = _distances(_matrix(vectors), pivots, metric), d.to_numpy()[:, None], cells.to_numpy()
+        # A row of another cell lies on the far side of the middle between the two pivots.
+        if metric == "euclidean":
+            gap = np.where(between[cell] > 0, between[cell], math.inf)
+            least = (away**2 - own**2) / (2 * gap) - 1e-13 * (away**2 + own**2) / gap
+        else:
+            least = (away - own) / 2
+        none = np.full(len(pivots), -math.inf)
+        radius = np.stack([radii.get(g, none) for g in groups])
+        least = np.maximum(least, away - radius)
+        asked = (least * (1 - _SLACK) <= far.to_numpy()[:, None]) & (radius >= 0)
+        asked[np.arange(len(cell)), cell] = False
+        return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in asked])
 
     return route
 
 
-def _reach(pivots: np.ndarray, queries: list, nearest: list, k: int, metric: str) -> dict[str, np.ndarray]:
-    """Largest pivot distance at which a candidate can still be a neighbour, per class and cell."""
+def _bounds(pivots: np.ndarray, nearest: list, k: int, metric: str) -> dict[str, np.ndarray]:
+    """How far from its pivot the k-th neighbour of a row at the pivot can be, per class and cell."""
     between = _distances(pivots, pivots, metric)
     known: dict[str, tuple[list[int], list[float]]] = {}
     for row in nearest:
         cells, away = known.setdefault(row["grp"], ([], []))
         cells.append(row["cell"])
         away.append(row["d"])
-    own = {group: (np.array(cells), np.array(away)) for group, (cells, away) in known.items()}
-    out: dict[str, np.ndarray] = {}
-    for row in queries:
-        limits = out.setdefault(row["grp"], np.full(len(pivots), -1.0))
-        if row["grp"] in own:
-            cells, away = own[row["grp"]]
-            bounds = between[row["cell"], cells] + away
-            # Fewer than k candidates in the class: every one of them is a neighbour.
-            kth = np.partition(bounds, k - 1)[k - 1] if len(bounds) >= k else math.inf
-            limits[row["cell"]] = (2 * row["radius"] + kth) * (1 + _SLACK) + _SLACK
+    out = {}
+    for group, (cells, away) in known.items():
+        # Fewer than k candidates in the class: every one of them is a neighbour.
+        far = between[:, cells] + np.array(away)
+        out[group] = np.partition(far, k - 1, axis=1)[:, k - 1] if len(cells) >= k else np.full(len(pivots), math.inf)
+    return out
+
+
+def _boxes(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in groups of at most ``size`` rows that lie close together: halves at the
+    median of the widest column, again and again."""
+    out, left = [], [np.arange(len(rows))]
+    while left:
+        part = left.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        own = rows[part]
+        column = own[:, int(np.argmax(own.max(axis=0) - own.min(axis=0)))]
+        order = np.argpartition(column, len(part) // 2)
+        left += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
     return out
 
 
@@ -102,23 +140,70 @@ def _tile_search(k: int, metric: str):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts: dict[str, list] = {"grp": [], "key": [], "nid": [], "nkey": [], "distance": []}
         if not left.empty and not right.empty:
-            away = _distances(_matrix(left["vector"]), _matrix(right["vector"]), metric)
+            asked, offered, far = _matrix(left["vector"]), _matrix(right["vector"]), left["far"].to_numpy()
             ids, keys = right["nid"].to_numpy(), right["nkey"].to_numpy()
-            last = min(k, len(ids)) - 1
             rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            limit = np.partition(away, last, axis=1)[:, last]
-            row, column = np.nonzero(away <= limit[:, None])
-            order = np.lexsort((rank[column], away[row, column], row))
-            row, column = row[order], column[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, column = row[place < k], column[place < k]
-            parts["grp"], parts["key"] = left["grp"].to_numpy()[row], left["key"].to_numpy()[row]
-            parts["nid"], parts["nkey"], parts["distance"] = ids[column], keys[column], away[row, column]
-        return pd.DataFrame(parts).astype({"distance": "float64"})
+            boxes = _boxes(offered, BOX_ROWS)
+            low, high = (np.stack([edge(offered[b], axis=0) for b in boxes]) for edge in (np.min, np.max))
+            sizes = np.array([len(b) for b in boxes])
+            rows, columns, distances = [], [], []
+            for box in _boxes(asked, BOX_ROWS):
+                own, limit = asked[box], far[box]
+                gap = np.maximum(np.maximum(low - own.max(axis=0), own.min(axis=0) - high), 0.0)
+                least = gap.sum(axis=1) if metric == "city" else np.sqrt((gap * gap).sum(axis=1))
+                order = np.argsort(least, kind="stable")
+                order = order[least[order] <= limit.max()]
+                # The nearest boxes first; what they hold says how many others can matter.
+                first = int(np.searchsorted(np.cumsum(sizes[order]), k + BOX_ROWS)) + 1
+                near = np.concatenate([boxes[i] for i in order[:first]]) if len(order) else np.zeros(0, int)
+                if not len(near):
+                    continue
+                away = _distances(own, offered[near], metric)
+                if first < len(order):
+                    if len(near) >= k:
+                        limit = np.minimum(limit, np.partition(away, k - 1, axis=1)[:, k - 1] * (1 + _SLACK) + _SLACK)
+                    more = [boxes[i] for i in order[first:] if least[i] <= limit.max()]
+                    if more:
+                        rest = np.concatenate(more)
+                        near, away = np.concatenate([near, rest]), np.concatenate([away, _distances(own, offered[rest], metric)], axis=1)
+                last = min(k, len(near)) - 1
+                kept = np.minimum(limit, np.partition(away, last, axis=1)[:, last])
+                row, column = np.nonzero(away <= kept[:, None])
+                found = away[row, column]
+                order = np.lexsort((rank[near[column]], found, row))
+                row, column, found = row[order], column[order], found[order]
+                chosen = np.arange(len(row)) - np.searchsorted(row, row) < k
+                rows.append(box[row[chosen]])
+                columns.append(near[column[chosen]])
+                distances.append(found[chosen])
+            if rows:
+                row, column = np.concatenate(rows), np.concatenate(columns)
+                parts["grp"], parts["key"] = left["grp"].to_numpy()[row], left["key"].to_numpy()[row]
+                parts["nid"], parts["nkey"], parts["distance"] = ids[column], keys[column], np.concatenate(distances)
+        return pd.DataFrame(parts).astype({"grp": object, "key": object, "nid": object, "nkey": object, "distance": "float64"})
 
     return search
 
 
+def _searched(queries: DataFrame, candidates: DataFrame, k: int, metric: str, tile: tuple[int, int]) -> DataFrame:
+    """``(grp, key, nid, nkey, distance)``: at most k rows per query and tile of its cell."""
+    loads = candidates.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("m"))
+    sizes = queries.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
+    tiles = as_lookup(
+        sizes.join(loads, ["grp", "cell"]).select(
+            "grp", "cell", F.ceil(F.col("n") / tile[0]).cast("int").alias("qt"), F.ceil(F.col("m") / tile[1]).cast("int").alias("bt")
+        )
+    )
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    slot = lambda key, count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+    left = queries.join(tiles, ["grp", "cell"]).select("grp", "cell", "key", "vector", "far", slot("key", "qt").alias("qi"), each("bt").alias("bi"))
+    right = candidates.join(tiles, ["grp", "cell"]).select("grp", "cell", "nid", "nkey", "vector", slot("nid", "bt").alias("bi"), each("qt").alias("qi"))
+    by = ["grp", "cell", "qi", "bi"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
+        _tile_search(k, metric), "grp string, key string, nid string, nkey string, distance double"
+    )
+
+
 def _vector_key(vector: str) -> Column:
     return F.md5(F.concat_ws(",", F.transform(vector, lambda x: (x + F.lit(0.0)).cast("string"))))
 
@@ -146,11 +231,10 @@ def nearest(
     offered = candidates.select(*shape).withColumnRenamed("qid", "nid").withColumn("nkey", _vector_key("vector"))
     wanted = k + 1 if skip_self else k
 
-    if pivots is None:
-        pivots = max(FEWEST_PIVOTS, round(candidates.count() ** PIVOT_POWER))
-
     copies = Window.partitionBy("grp", "nkey").orderBy("nid")
-    kept = offered.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= wanted).drop("r")
+    kept = checkpointed(offered.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= wanted).drop("r"))
+    if pivots is None:
+        pivots = max(FEWEST_PIVOTS, round(kept.count() ** PIVOT_POWER))
     middle = kept.select("vector", "nkey").dropDuplicates(["nkey"]).orderBy("nkey").limit(pivots).collect()
     if not middle:
         return asked.sparkSession.createDataFrame([], "id string, neighbour string, distance double, place int")
@@ -159,28 +243,20 @@ def nearest(
     q = checkpointed(asked.select("grp", "key", "vector").dropDuplicates(["grp", "key"]).withColumn("p", place("vector")).select("grp", "key", "vector", "p.cell", "p.d"))
     b = checkpointed(kept.withColumn("p", place("vector")).select("grp", "nid", "nkey", "vector", "p.cell", "p.d"))
 
-    radii = _cells(q.groupBy("grp", "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")))
     closest = Window.partitionBy("grp", "cell").orderBy("d", "nid")
     nearest_rows = _cells(b.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= wanted).select("grp", "cell", "d"), wanted)
-    reach = _reach(centres, radii, nearest_rows, wanted, metric)
-
-    sent = b.withColumn("cell", F.explode(_route_column(centres, reach, metric)("vector", "grp"))).drop("d")
-    sent = checkpointed(sent)
-    loads = sent.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("m"))
-    sizes = q.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"))
-    tiles = as_lookup(
-        sizes.join(loads, ["grp", "cell"]).select(
-            "grp", "cell", F.ceil(F.col("n") / tile[0]).cast("int").alias("qt"), F.ceil(F.col("m") / tile[1]).cast("int").alias("bt")
-        )
-    )
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    slot = lambda key, count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
-    left = q.join(tiles, ["grp", "cell"]).select("grp", "cell", "key", "vector", slot("key", "qt").alias("qi"), each("bt").alias("bi"))
-    right = sent.join(tiles, ["grp", "cell"]).select("grp", "cell", "nid", "nkey", "vector", slot("nid", "bt").alias("bi"), each("qt").alias("qi"))
-    by = ["grp", "cell", "qi", "bi"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
-        _tile_search(wanted, metric), "grp string, key string, nid string, nkey string, distance double"
-    )
+    bounds = _bounds(centres, nearest_rows, wanted, metric)
+    radii: dict[str, np.ndarray] = {}
+    for row in _cells(b.groupBy("grp", "cell").agg(F.max("d").alias("radius"))):
+        radii.setdefault(row["grp"], np.full(len(centres), -math.inf))[row["cell"]] = row["radius"]
+
+    # Its own cell first, then the cells that can hold a nearer row.
+    inside = checkpointed(_searched(q.withColumn("far", F.lit(math.inf)), b, wanted, metric, tile))
+    kth = inside.groupBy("grp", "key").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(wanted - 1)).alias("kth"))
+    limited = q.join(kth, ["grp", "key"], "left").withColumn("far", _far_column(bounds)("grp", "cell", "d", "kth"))
+    route = _route_column(centres, radii, metric)("vector", "grp", "cell", "d", "far")
+    sent = checkpointed(limited.select("grp", "key", "vector", "far", F.explode(route).alias("cell")))
+    found = inside.unionByName(_searched(sent, b, wanted, metric, tile))
     order = Window.partitionBy("grp", "key").orderBy("distance", "nid")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted).drop("r")
 
