@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from waymark.features import prepare as M
 from waymark.models import boosting as X
 from waymark.models import classify as L
 
@@ -142,3 +143,18 @@ def test_model_is_saved_and_needs_two_classes(spark, tmp_path):
     with pytest.raises(ValueError):
         X.boost(df.where("y = 'c0'"), "y")
     assert again.scored(df.limit(0)).collect() == []
+
+
+def test_a_pass_walks_few_finished_trees(spark, monkeypatch):
+    walked, plain = [], X._Pass.__init__
+
+    def noted(self, *a, **k):
+        plain(self, *a, **k)
+        walked.append(len(self.done))
+
+    monkeypatch.setattr(X._Pass, "__init__", noted)
+    draw = np.random.default_rng(5)
+    rows = [(f"r{i}", "abc"[i % 3], float(x) + i % 3) for i, x in enumerate(draw.normal(size=90))]
+    frame = M.assembled(spark.createDataFrame(rows, "id string, y string, u double"), ["id"], "y")
+    run = X.boost(frame, "y", X.Settings(rounds=6, depth=2))
+    assert len(run.history) == 6 and max(walked) <= 2

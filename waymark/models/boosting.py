@@ -39,7 +39,7 @@ from waymark.functions.labels import to_code
 from waymark.models.classify import FittedClassifier, labels_of
 
 UNIT = 2**20  # gradients are added as multiples of 1 / UNIT
-CUT_EVERY = 10  # rounds after which the scores are written
+CUT_EVERY = 2  # rounds after which the scores are written; until then every pass walks their trees
 MOST_BINS = 255
 
 
@@ -75,19 +75,22 @@ class Forest:
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node of every row after at most ``levels`` cuts, by (row, variant, class)."""
-        variants, outputs, _ = self.feature.shape
+        variants, outputs, size = self.feature.shape
+        tree = np.arange(variants * outputs).reshape(variants, outputs) * size
+        row = (np.arange(len(bins)) * bins.shape[1])[:, None, None]
+        features, cuts, cells = self.feature.ravel(), self.cut.ravel(), bins.ravel()
         node = np.zeros((len(bins), variants, outputs), np.int64)
-        v, k = np.arange(variants)[:, None], np.arange(outputs)[None, :]
-        rows = np.arange(len(bins))[:, None, None]
         for _ in range(levels):
-            feature = self.feature[v, k, node]
-            right = bins[rows, np.maximum(feature, 0)] > self.cut[v, k, node]
+            at = node + tree
+            feature = features.take(at)
+            right = cells.take(row + np.maximum(feature, 0)) > cuts.take(at)
             node = np.where(feature >= 0, 2 * node + 1 + right, node)
         return node
 
     def scores(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        variants, outputs, _ = self.feature.shape
-        return self.value[np.arange(variants)[:, None], np.arange(outputs)[None, :], self.nodes(bins, depth)]
+        variants, outputs, size = self.value.shape
+        tree = np.arange(variants * outputs).reshape(variants, outputs) * size
+        return self.value.ravel().take(self.nodes(bins, depth) + tree)
 
 
 @dataclass
