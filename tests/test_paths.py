@@ -3,17 +3,20 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from waymark.features import prepare as M
 from waymark.features import resample as B
+from waymark.features import sketch as S
 from waymark.features.sketch import SketchedVector, TensorSketch
 from waymark.models import boosting as X
 from waymark.models import classify as L
@@ -121,6 +124,56 @@ def test_sketched_svm_has_a_fixed_width(spark):
     assert all(math.isclose(sum(r.prob), 1.0) for r in fitted.scored(df).collect())
 
 
+def test_sketched_rows_come_in_slices(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(3000, 6))
+    x[7, 2] = np.nan
+    rows = pa.array(list(x), pa.list_(pa.float64()))
+    sketch = TensorSketch(6, 3, 256)
+    parts = list(S._in_slices(iter([rows[:2500], rows[2500:2500], rows[2500:]]), sketch, 6))
+    assert max(map(len, parts)) * 256 * 8 <= S.SLICE_BYTES
+    found = np.concatenate([p.flatten().to_numpy().reshape(-1, 256) for p in parts])
+    assert np.allclose(found, sketch(np.nan_to_num(x)))
+    monkeypatch.setattr(S, "SLICE_BYTES", 1)  # a row at a time
+    assert [len(p) for p in S._in_slices(iter([rows[5:8]]), sketch, 6)] == [1, 1, 1]
+    for bad in ([[1.0] * 6, [1.0] * 5], [[1.0] * 6, None], [[1.0] * 7, [1.0] * 5]):
+        with pytest.raises(ValueError):
+            list(S._in_slices(iter([pa.array(bad, pa.list_(pa.float64()))]), sketch, 6))
+
+
+@pytest.mark.parametrize("fit", [lambda df: L.sketched_svm(df, "y", degree=3, width=32, scale=0.1, steps=10), lambda df: L.polynomial_svm(df, "y", steps=10)])
+def test_wide_rows_are_not_cached_beside_the_learner(spark, monkeypatch, fit):
+    cached = []
+
+    class Seen(LinearSVC):
+        def fit(self, df, params=None):
+            plan = df._jdf.queryExecution().withCachedData().toString()
+            cached.append(re.findall(r"InMemoryRelation \[([^]]*)\]", plan))
+            return super().fit(df, params)
+
+    monkeypatch.setattr(L, "LinearSVC", Seen)
+    fit(vectors(spark, 120))
+    assert len(cached) == 2 and all(len(c) == 1 and "features" in c[0] and "expanded" not in c[0] for c in cached)
+
+
+def test_partitions_of_wide_rows_are_small(spark, monkeypatch):
+    sizes = []
+
+    class Seen(LinearSVC):
+        def fit(self, df, params=None):
+            sizes.append([r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+            return super().fit(df, params)
+
+    monkeypatch.setattr(L, "LinearSVC", Seen)
+    df = vectors(spark, 120).repartitionByRange(3, F.col("id") > "u100")  # most rows in one partition
+    whole = L.sketched_svm(df, "y", degree=3, width=32, scale=0.1, steps=10)
+    assert max(sizes[0]) > 80  # small enough: not dealt out
+    monkeypatch.setattr(L, "PARTITION_BYTES", 20 * 32 * 8, raising=False)
+    parts = L.sketched_svm(df, "y", degree=3, width=32, scale=0.1, steps=10)
+    assert all(max(n) < 30 and sum(n) == 120 for n in sizes[2:])
+    for a, b in zip(whole.model, parts.model, strict=True):
+        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=1e-6)
+
+
 # Importance.
 
 

@@ -12,13 +12,18 @@ Hashes depend on the seed only. A row costs degree x width steps, whatever p^deg
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from waymark.features.base import FixedStep
 
+# Sketched rows of this many bytes are made at a time; a task holds a few times as much.
+SLICE_BYTES = 2 << 20
+
 
 class TensorSketch:
     """The map of rows of ``size`` coordinates to ``width`` features."""
@@ -42,14 +47,26 @@ class TensorSketch:
         return np.fft.irfft(product, self.width, axis=0).T
 
 
+def _in_slices(batches: Iterator[pa.Array], sketch: TensorSketch, size: int) -> Iterator[pa.Array]:
+    """Sketched rows of ``size`` coordinates, some at a time: the sketches of a whole batch of
+    Spark's are many times its own size."""
+    count = max(1, SLICE_BYTES // (8 * sketch.width))
+    for batch in batches:
+        for start in range(0, len(batch), count):
+            rows = batch.slice(start, count)
+            if rows.null_count or rows.value_lengths().unique().to_pylist() != [size]:
+                raise ValueError(f"every row needs {size} numbers")
+            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * sketch.width
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sketch(np.nan_to_num(x)).ravel()))
+
+
 def sketched(column, size: int, degree: int, width: int, scale: float, offset: float, seed: int):
     """An array column of rows as an array column of sketched rows; NaN counts as zero."""
 
-    @F.pandas_udf("array<double>")
-    def run(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(TensorSketch(size, degree, width, scale, offset, seed)(np.nan_to_num(np.stack(rows.to_numpy())))))
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _in_slices(batches, TensorSketch(size, degree, width, scale, offset, seed), size)
 
     return run(column)
 

@@ -142,20 +142,43 @@ def boosted_binary(df: DataFrame, label: str, rounds: int = 20, depth: int = 5,
     return FittedClassifier(labels, PipelineModel([model, ProbabilityArray(drop=["rawPrediction", "probability", "prediction"])]), model)
 
 
-def _one_against_rest(df: DataFrame, label: str, declared, fit_one: Callable[[DataFrame], object], source: str, squash: bool, before: Sequence = ()) -> FittedClassifier:
+# Largest size of a partition of a wide feature table. An executor holds some partitions at once,
+# and a table cached as a whole besides.
+PARTITION_BYTES = 64 << 20
+
+
+def _in_small_partitions(df: DataFrame, width: int) -> DataFrame:
+    """``df`` dealt out so that about ``PARTITION_BYTES`` come to a partition once its rows have
+    ``width`` numbers; left as it is where no partition has more."""
+    sizes = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    rows, most, parts = sizes.agg(F.sum("n"), F.max("n"), F.count("n")).first()
+    if (most or 0) * width * 8 <= PARTITION_BYTES:
+        return df
+    return df.repartition(max(parts, math.ceil(rows * width * 8 / PARTITION_BYTES)))
+
+
+def _one_against_rest(
+    df: DataFrame, label: str, declared, fit_one: Callable[[DataFrame], object], source: str, squash: bool, before: Sequence = (), width: int | None = None
+) -> FittedClassifier:
     """One two-class model per class; scores are normalized to sum to one.
 
-    The feature table is kept in executor memory (spilling to disk) across the fits.
+    The feature table is kept in executor memory (spilling to disk) across the fits. It is kept
+    as it comes: what the stages of ``before`` make of it may be many times its size, and a
+    learner that goes over its rows often has a cache of its own. Where the rows become ``width``
+    numbers, partitions are cut for that.
     """
     labels = labels_of(df, label, declared)
     coded = _coded(df, label, labels)
-    for stage in before:
-        coded = stage.transform(coded)
+    if width is not None:
+        coded = _in_small_partitions(coded, width)
     coded = coded.persist(StorageLevel.MEMORY_AND_DISK)
+    wide = coded
+    for stage in before:
+        wide = stage.transform(wide)
     stages, models = list(before), []
     try:
         for i in range(len(labels)):
-            own = coded.withColumn("label", (F.col("label") == i).cast("double"))
+            own = wide.withColumn("label", (F.col("label") == i).cast("double"))
             model = fit_one(own)
             names = [f"raw_{i}", f"probability_{i}", f"prediction_{i}"]
             model.setRawPredictionCol(names[0]).setPredictionCol(names[2])
@@ -198,7 +221,7 @@ def sketched_svm(
         raise ValueError("no rows to fit on")
     expand = SketchedVector(size=first["n"], degree=degree, width=width, scale=scale, offset=offset, seed=seed)
     learner = LinearSVC(featuresCol="expanded", regParam=1.0 / max(cost, 1e-9) / 100, maxIter=steps)
-    return _one_against_rest(df, label, declared, learner.fit, "raw", squash=True, before=[expand])
+    return _one_against_rest(df, label, declared, learner.fit, "raw", squash=True, before=[expand], width=width)
 
 
 def boosted_trees_m1(
